@@ -1,0 +1,38 @@
+"""Connected components by contraction, all steps distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import stage
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (smallest node that links reach) for every node of links (a, b: long, not null).
+
+    Each round hooks every component to its smallest neighbour if that is smaller, follows the hooks to their end, and renames the
+    links; a round at least halves the components that still have links between them. A component with very many links is reduced to
+    one row a neighbour before it is shuffled.
+    """
+    edges = stage(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    label: DataFrame | None = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hook = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "hooks")
+        while True:  # every step doubles the length of the paths that are followed
+            up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            jumped = stage(hook.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "hooks")
+            hook = jumped.select("node", "root")
+            if jumped.filter("moved").isEmpty():
+                break
+        if label is None:
+            label = hook.select("node", F.col("root").alias("component"))
+        else:
+            named = hook.select(F.col("node").alias("component"), "root")
+            label = stage(label.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        x, y = hook.select(F.col("node").alias("a"), F.col("root").alias("ra")), hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        edges = stage(edges.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    if label is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    return label
