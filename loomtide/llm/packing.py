@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ChunkIds, each
+from .tokens import ChunkIds, each_encoded
 
 SCHEMA = "doc_id long, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -153,8 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), open_bins:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         packer, ids_of = Packer(limits, open_bins, emit), ChunkIds(tokenizer)
-        for doc_id, text, masked in each(batches, "doc_id", "text", "masked"):
-            ids = np.append(ids_of.encode(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
+        for ids, doc_id, masked in each_encoded(batches, ids_of, end_id, "doc_id", "masked"):
             packer.add(Piece(doc_id, 0, ids, len(ids), min(max(0, masked), len(ids))))
             if len(out) >= 2000:
                 yield batch()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ UNKNOWN_PENALTY = 10.0
 
 
 class Pieces:
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 600_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -47,25 +48,32 @@ class Pieces:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         self.control = {i for i, p in enumerate(model.pieces) if p.type == 3}
         self.least = min(self.scores.values()) - UNKNOWN_PENALTY
+        self.single, self.name_of, self.pair_ids = {p for p in usable if len(p) == 1}, {i: p for p, i in self.ids.items()}, {}
+        self.plain = [b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.names)]
         self.automaton = ahocorasick.Automaton()
         for p in usable:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
         whole = any(SPACE in p.lstrip(SPACE) for p in usable)
         apart = "" if any("\n" in p for p in usable) else "\n"
         self.units = re.compile(r"[\s\S]+" if whole else f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+|{apart or SPACE}+")
         self.memo: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges' result for a short text, merge by merge."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.scores), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
+        parts, get = list(text), self.scores.get
+        scores = [get(x + y, -np.inf) for x, y in pairwise(parts)]
+        while scores and (best := max(scores)) > -np.inf:
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], -np.inf)
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], -np.inf)
+        return parts
 
     def follows(self, before: str, piece: str) -> bool:
         """Whether the merges leave `piece` after `before`; before is empty at the start."""
@@ -85,11 +93,11 @@ class Pieces:
             if unit[i] not in self.scores and kept[i] is not None and (self.kind == BPE or best[i] + self.least > best[i + 1]):
                 kept[i + 1], best[i + 1] = unit[i], best[i] + self.least
 
-        for end, piece in self.automaton.iter(unit):
+        for end, (size, number) in self.automaton.iter(unit):
             while at <= end:
                 single(at)
                 at += 1
-            j, i = end + 1, end + 1 - len(piece)
+            j, i, piece = end + 1, end + 1 - size, self.name_of[number]
             if kept[i] is None:
                 continue
             if self.kind == UNIGRAM:
@@ -106,7 +114,28 @@ class Pieces:
             j -= len(kept[j])
         return out[::-1]
 
+    def chained(self, unit: str) -> list[int]:
+        """split() by ids, for a BPE model and a unit of characters that are pieces all: one of the pieces that end at a position is right."""
+        kept: list[int | None] = [-1] + [None] * len(unit)
+        pairs, n_pieces, starts = self.pair_ids, len(self.names), [0] * (len(unit) + 1)
+        for end, (size, number) in self.automaton.iter(unit):
+            if kept[end + 1] is None and (before := kept[end + 1 - size]) is not None:
+                key = before * n_pieces + number
+                if (known := pairs.get(key)) is None:
+                    if len(pairs) > 4 * self.capacity:
+                        pairs.clear()
+                    known = pairs[key] = self.merged(self.name_of.get(before, "") + self.name_of[number]) == [self.name_of[x] for x in (before, number) if x >= 0]
+                if known:
+                    kept[end + 1], starts[end + 1] = number, end + 1 - size
+        out, j = [], len(unit)
+        while j:
+            out.append(kept[j])
+            j = starts[j]
+        return out[::-1]
+
     def ids_of(self, unit: str) -> bytes:
+        if self.kind == BPE and self.single.issuperset(unit):
+            return np.array(self.chained(unit), "<u4").tobytes()
         out: list[int] = []
         for p in self.split(unit):
             if p in self.ids:
@@ -120,30 +149,28 @@ class Pieces:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        units = self.units.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
-        memo = self.memo
-        if new := [u for u in dict.fromkeys(units) if u not in memo]:
-            if len(memo) > self.capacity:
-                memo.clear()
-                new = list(dict.fromkeys(units))
-            for u in new:
-                memo[u] = self.ids_of(u)
+        if self.prefix and SPACE not in text and "" not in (words := text.split(" ")):
+            units, make = words, self._word  # single spaces: each word begins with one
+        else:
+            units, make = self.units.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)), self.ids_of
+        memo = self.memo if make == self._word else self.other
+        new = set(units).difference(memo)
+        if len(memo) + len(new) > self.capacity:
+            memo.clear()
+            new = set(units)
+        for u in new:
+            memo[u] = make(u)
         ids = np.frombuffer(b"".join(map(memo.__getitem__, units)), "<u4")
         for u in new:
             if len(u) > 64:
                 del memo[u]
         return ids
 
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.ids_of, self.units.findall(SPACE + word)))
+
     def decode(self, ids: np.ndarray) -> str:
-        out: list[bytes] = []
-        for i in ids.tolist():
-            if i in self.byte_of:
-                out.append(bytes([self.byte_of[i]]))
-            elif i == self.unknown:
-                out.append(" ⁇ ".encode())
-            elif i not in self.control:
-                out.append(self.names[i].encode())
-        text = b"".join(out).decode(errors="replace").replace(SPACE, " ")
+        text = b"".join(map(self.plain.__getitem__, ids.tolist())).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 

@@ -6,42 +6,81 @@ are then the ids of its chunks, one after the other. The memo is bounded; chunks
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 
+#: A chunk of letters whose lower case is one letter each, and ASCII punctuation after them: two tokens' worth of words in any tokenizer here.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class ChunkIds:
-    def __init__(self, path: str, capacity: int = 300_000, longest: int = 64):
+    """capacity: chunks held. Tokenizers that put all in lower case share the ids of a chunk's letters between its spellings."""
+
+    def __init__(self, path: str, capacity: int = 600_000, longest: int = 64):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.capacity, self.longest = Tokenizer.from_file(path), {}, capacity, longest
-
-    def encode(self, text: str) -> np.ndarray:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.encode().split()
-        memo = self.memo
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            if len(memo) + len(new) > self.capacity:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
+        self.tokenizer, self.memo, self.words, self.capacity, self.longest = Tokenizer.from_file(path), {}, {}, capacity, longest
+        byte = {b: chr(b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else 256 + sum(not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174) for c in range(b))) for b in range(256)}
+        self.letters = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(192, 256)}  # the characters that byte-level tokenizers have for them
+        trial = ["a", "thing", "aé", ",", "...", "übergröße"]
+        self.folds = self._raw(["Aé,"])[0] == b"".join(self._raw(["aé", ","])) and self._raw(trial) == self._of_words(trial)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """_raw for what _PLAIN has found, which is normalised and split already."""
+        merge = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in merge(w if w.isascii() else w.translate(self.letters))], "<u4").tobytes() for w in words]
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for i in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        memo, words, plain, other, need = self.memo, self.words, [], [], {}
+        for w in new:
+            if self.folds and (m := _PLAIN.fullmatch(w.decode())):
+                a, b = m[1].lower(), m[2]
+                plain.append((w, a, b))
+                if a not in words:
+                    need[a] = None
+                if b and b not in words:
+                    need[b] = None
+            else:
+                other.append(w)
+        if len(words) + len(need) > self.capacity:
+            words.clear()
+            need = dict.fromkeys(x for _, a, b in plain for x in (a, b) if x)
+        words.update(zip(need, self._of_words(list(need)), strict=True))
+        for w, a, b in plain:
+            memo[w] = words[a] + words[b] if b else words[a]
+        memo.update(zip(other, self._raw([w.decode() for w in other]), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Little-endian unsigned 32-bit ids of each text; null has none."""
+        chunks = [t.encode().split() if t else [] for t in texts]
+        memo, seen = self.memo, set().union(*chunks)
+        new = seen.difference(memo)
+        if len(memo) + len(new) > self.capacity:
+            memo.clear()
+            new = seen
+        self._learn(sorted(new))
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in chunks]
         for w in new:
             if len(w) > self.longest:
                 del memo[w]
-        return ids
+        return out
 
 
-def each(batches: Iterable, *cols: str) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples, a few at a time, so that no batch is held as Python objects."""
+def each_encoded(batches: Iterable, ids_of: ChunkIds, end_id: int, *cols: str) -> Iterator[tuple]:
+    """The rows of Arrow batches, about a megabyte of text at a time: the ids of the text with end_id after them, and cols."""
     for b in batches:
-        for i in range(0, b.num_rows, 256):
-            part = b.slice(i, 256)
-            yield from zip(*(part.column(c).to_pylist() for c in cols), strict=True)
+        sizes = b.column("text").nbytes // max(1, b.num_rows)
+        step = max(1, min(1024, 1_000_000 // max(1, sizes)))
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            ids = (np.append(x, np.uint32(end_id)) for x in ids_of.encode(part.column("text").to_pylist()))
+            yield from zip(ids, *(part.column(c).to_pylist() for c in cols), strict=True)

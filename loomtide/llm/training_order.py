@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .base import shared_dir, stage
 from .sets import STEP, mix
-from .tokens import ChunkIds, each
+from .tokens import ChunkIds, each_encoded
 
 ROUNDS = 6
 
@@ -79,8 +79,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
             out.clear()
             return got
 
-        for doc_id, text in each(batches, "doc_id", "text"):
-            ids = np.append(ids_of.encode(text or ""), np.uint32(end_id))
+        for ids, doc_id in each_encoded(batches, ids_of, end_id, "doc_id"):
             owners.append((held, doc_id))
             parts.append(ids)
             held += len(ids)
