@@ -1 +1,3 @@
-QUERIES, ORACLES = {}, {}
+"""A query for each operator and program, and the same in SQL."""
+
+from .queries import ORACLES, QUERIES  # noqa: F401

@@ -1 +1,83 @@
+"""Structured Streaming: a micro-batch is an epoch; its end closes it."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.incremental import output_delta
+from ..operators.staging import stage
+from ..operators.zset import ZSet
+
+
+def epochs_of_files(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_per_epoch: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_epoch).format(kind).load(path)
+
+
+def subscribe(stream: DataFrame, on_epoch: Callable[[DataFrame, int], None], checkpoint: str | None = None, once: bool = True) -> StreamingQuery:
+    """on_epoch(rows, epoch) after each epoch, empty ones of a running query left out. once: all that is there, then stop."""
+    writer = stream.writeStream.foreachBatch(on_epoch)
+    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def subscribe_workers(stream: DataFrame, on_rows: Callable[[int, int, Iterator], None], checkpoint: str | None = None) -> StreamingQuery:
+    """on_rows(epoch, partition, rows) on the workers."""
+
+    def each(rows: DataFrame, epoch: int) -> None:
+        def part(i: Iterator) -> None:
+            from pyspark import TaskContext
+
+            on_rows(epoch, TaskContext.get().partitionId(), i)
+
+        rows.foreachPartition(part)
+
+    return subscribe(stream, each, checkpoint)
+
+
+def running_counts(stream: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
+    """Counts over all epochs; write in update mode for those that an epoch changes."""
+    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def windowed_counts(stream: DataFrame, ts: str, length: str, late: str, keys: list[str], name: str = "n") -> DataFrame:
+    """Counts by window of event time; rows later than `late` are dropped."""
+    return stream.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def changes(stream: DataFrame, operator: Callable[[ZSet], ZSet], emit: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+    """emit(insertions and retractions of the operator's result, epoch), for a stream of records or of weighted records.
+
+    The input so far and the result are staged tables; a changed result is the difference of the two results.
+    """
+    held: dict[str, ZSet] = {}
+
+    def each(rows: DataFrame, epoch: int) -> None:
+        new = ZSet(rows) if "weight" in rows.columns else ZSet.of(rows)
+        all_rows = ZSet(stage((held["in"].concat(new) if held else new).consolidate().df, "input"))
+        result = ZSet(stage(operator(all_rows).consolidate().df, "result"))
+        emit((output_delta(held["out"], result) if held else result).df, epoch)
+        held.update({"in": all_rows, "out": result})
+
+    return subscribe(stream, each, checkpoint)
+
+
+def lookups(puts_and_gets: DataFrame, key: str, value: str, is_get: Column) -> DataFrame:
+    """(key, value): the last value put for each request so far, key by key in a state store. Within an epoch, puts come before requests."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(k, batches, state):
+        rows = pd.concat(list(batches))
+        puts = rows[~rows["is_get"]][value]
+        if len(puts):
+            state.update((str(puts.max()),))
+        n = int(rows["is_get"].sum())
+        if n and state.exists:
+            yield pd.DataFrame({key: [k[0]] * n, value: [state.get[0]] * n})
+
+    rows = puts_and_gets.select(F.col(key).cast("string").alias(key), F.col(value).cast("string").alias(value), is_get.alias("is_get"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, {value} string", f"{value} string", "append", GroupStateTimeout.NoTimeout)
