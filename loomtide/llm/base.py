@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_dir, stage  # noqa: F401
+
 #: White space of the contracts: [\x20\x09-\x0D]; exactly what bytes.split() splits at.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local runs, tests), a folder of this session."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='loomtide-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/loomtide/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> tuple[bool, DataFrame]:
     """Whether df has at most `rows` rows, and df with a broadcast hint if so. df should be a staged table."""
     fits = df.limit(rows + 1).count() <= rows
