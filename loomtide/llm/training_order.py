@@ -56,23 +56,25 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
         if ids_of.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer don't fit into 16 bits")
         parts: list[np.ndarray] = []
-        owners: list[tuple[int, int | None]] = []  # of the ids held: where a text begins and its doc_id
+        begins: list[int] = []  # of the texts in the ids held
+        owners: list[int | None] = []
         held, out = 0, []
         names = ["part", "seq", "n_tokens", "n_docs", "first_doc_id", "ids"]
 
         def cut(last: bool):
-            nonlocal parts, owners, held, seq
-            ids = np.concatenate(parts)
-            at = 0
-            while held - at >= length or last and at < held:
-                n = min(length, held - at)
-                own = [o for i, o in enumerate(owners) if o[0] < at + n and (i + 1 == len(owners) or owners[i + 1][0] > at)]
-                full = np.concatenate([ids[at : at + n], np.full(length - n, pad_id)]).astype("<u2")
-                out.append((part, seq, n, len(own), own[0][1], pack.compress(full.tobytes())))
-                seq, at = seq + 1, at + n
-                owners = owners[next((i for i in range(len(owners)) if i + 1 == len(owners) or owners[i + 1][0] > at), 0) :]
-            parts, held = [ids[at:]], held - at
-            owners = [(o - at, d) for o, d in owners] if held else []
+            nonlocal parts, begins, owners, held, seq
+            ids, n = np.concatenate(parts), -(-held // length) if last else held // length
+            used = min(held, n * length)
+            full = np.full(n * length, pad_id, "<u2")
+            full[:used] = ids[:used]
+            at, text_at = np.arange(n) * length, np.array(begins)
+            first = np.searchsorted(text_at, at, side="right") - 1
+            n_docs = np.searchsorted(text_at, np.minimum(at + length, used), side="left") - first
+            for i, row in enumerate(full.reshape(n, length)):
+                out.append((part, seq + i, min(length, used - i * length), int(n_docs[i]), owners[first[i]], pack.compress(row.tobytes())))
+            keep = max(0, int(np.searchsorted(text_at, used, side="right")) - 1)
+            parts, begins, owners = [ids[used:]], [b - used for b in begins[keep:]], owners[keep:]
+            seq, held = seq + n, held - used
 
         def batch_of():
             got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], names)
@@ -80,10 +82,11 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
             return got
 
         for ids, doc_id in each_encoded(batches, ids_of, end_id, "doc_id"):
-            owners.append((held, doc_id))
+            begins.append(held)
+            owners.append(doc_id)
             parts.append(ids)
             held += len(ids)
-            if held >= 16 * length:
+            if held >= 64 * length:
                 cut(False)
                 yield batch_of()
         if held:
