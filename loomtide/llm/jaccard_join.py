@@ -15,8 +15,8 @@ Two sets that have more of them are signed again with another hash, and so on; a
 Equal sets are made one class first. Classes that share a signature are candidates. A group of them is compared with its leader, not pair
 by pair: members that are linked to the leader need no comparison with each other, and one that is far from the leader (over twice the
 threshold's distance) can be linked with none of those, since the Jaccard distance is a metric. The few members that this leaves open are
-compared where they lie, block by block, by odd sketches, which bound the distance from below; only pairs of different components that
-may be linked come out. Open groups over `split_over` members are split before by the signatures of an independent hash, which
+compared where they lie, block by block, by odd sketches, which bound the distance from below; pairs of different components that
+may be linked come out, first a member with the one that seems nearest, and, once that joins no further components, all that are left. Open groups over `split_over` members are split before by the signatures of an independent hash, which
 partners share as well. Candidates are then held against each other's whole sets. So all links between different sets are found or implied.
 """
 
@@ -52,7 +52,7 @@ def _bands(percent: int, power: int) -> tuple[np.ndarray, list[tuple[int, int]]]
     return np.array([b[1] for b in got]), got
 
 
-N2, SKIP, ROUNDS = 2, 1, 8
+N2, SKIP, ROUNDS, NEAREST_ROUNDS = 2, 1, 8, 3
 SUBSETS = list(combinations(range(N2), N2 - SKIP))
 
 
@@ -195,8 +195,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, items binary")
 
 
-def compared(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """(a, b): pairs of a group (sig) of different components that their sketches allow to be linked.
+def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) -> DataFrame:
+    """(a, b): pairs of a group (sig) of different components that their sketches allow to be linked; nearest: for each member, the one least apart.
 
     rows: sig, rep, component, n_shingles, sketch. A group is read in order and held as its sketches, folded to one length; blocks of it
     are compared with blocks, and only the pairs that may be linked leave the task.
@@ -211,6 +211,8 @@ def compared(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
             if len(held) < 2:
                 return
             rep, comp, n = (np.array([x[i] for x in held], np.int64) for i in range(3))
+            if (comp == comp[0]).all():
+                return
             least = min(len(x[3]) for x in held)
             bits = np.empty((len(held), least), np.uint8)
             for i, x in enumerate(held):
@@ -220,14 +222,28 @@ def compared(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
                 bits[i] = y
             bits = bits.view(np.uint64)
             for i in range(0, len(held), block):
-                for j in range(i, len(held), block):
-                    p, q = slice(i, i + block), slice(j, j + block)
+                p = slice(i, i + block)
+                best, whom = np.full(len(held[p]), np.iinfo(np.int64).max), np.zeros(len(held[p]), np.int64)
+                for j in range(0 if nearest else i, len(held), block):
+                    q = slice(j, j + block)
                     total = n[p, None] + n[None, q]
                     apart = np.zeros(total.shape, np.int64)
                     for w in range(bits.shape[1]):
                         apart += np.bitwise_count(bits[p, None, w] ^ bits[None, q, w])
-                    x, y = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (comp[p, None] != comp[None, q]))
-                    a, b = rep[p][x], rep[q][y]
+                    open_pairs = (100 * (total - apart) >= percent * (total + apart)) & (comp[p, None] != comp[None, q])
+                    if nearest:
+                        apart[~open_pairs] = np.iinfo(np.int64).max
+                        at = apart.argmin(1)
+                        least_here = apart[np.arange(len(at)), at]
+                        closer = least_here < best
+                        best[closer], whom[closer] = least_here[closer], rep[q][at[closer]]
+                    else:
+                        x, y = np.nonzero(open_pairs)
+                        a, b = rep[p][x], rep[q][y]
+                        yield from rows_of({"a": np.minimum(a, b), "b": np.maximum(a, b)}, types)
+                if nearest:
+                    some = best < np.iinfo(np.int64).max
+                    a, b = rep[p][some], whom[some]
                     yield from rows_of({"a": np.minimum(a, b), "b": np.maximum(a, b)}, types)
 
         for batch in batches:
@@ -287,6 +303,10 @@ def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, "a long, b long, maybe boolean, far boolean")
 
 
+def named_by(members: DataFrame, label: DataFrame) -> DataFrame:
+    return members.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id and component_id, one row for each row of docs.
 
@@ -318,7 +338,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
     left = stage(state.join(open_groups, "sig").filter("NOT linked OR close > 0").select("sig", "rep"), "open")
     label = components(links)
     if not left.isEmpty():
-        named = left.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+        named = named_by(left, label)
         ranges = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("sig", "n")
         left = stage(named.join(ranges, "sig"), "open")
         over = left.filter(F.col("n") > split_over)
@@ -326,11 +346,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
             again = signed(only(text, stage(over.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k, percent, seed=1).withColumnRenamed("sig", "sig2")
             parts = over.join(again, "rep").select(F.xxhash64("sig", "sig2").alias("sig"), "rep", "component")
             left = stage(parts.unionByName(left.filter(F.col("n") <= split_over).select("sig", "rep", "component")), "open")
-        maybe = stage(compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent), "maybe")
-        if not maybe.isEmpty():
+        done, full = verdict.select("a", "b"), False
+        for round_ in range(NEAREST_ROUNDS + 1):
+            full = full or round_ == NEAREST_ROUNDS
+            maybe = stage(compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, not full).join(done, ["a", "b"], "left_anti"), "maybe")
+            if maybe.isEmpty():
+                if full:
+                    break
+                full = True
+                continue
             more = shingle_sets(only(text, stage(maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k)
-            links = stage(links.union(measured(maybe, stage(more, "items"), percent).filter("linked").select("a", "b")), "links")
-            label = components(links)
+            found = stage(measured(maybe, stage(more, "items"), percent).filter("linked").select("a", "b"), "links")
+            if not found.isEmpty():
+                links = stage(links.union(found), "links")
+                label = components(links)
+            if full:
+                break
+            done = done.union(maybe)
+            left = named_by(left.select("sig", "rep"), label)
+            ranges = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
+            left = stage(left.join(ranges, "sig"), "open")
 
     named = reps.select("key", "rep", "n_rows").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
     told = stage(named.filter(F.col("n_rows") + F.when(F.col("component") < F.col("rep"), 2).otherwise(0) > 1).select("key", "rep", "component"), "told")
