@@ -227,9 +227,12 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                 for j in range(0 if nearest else i, len(held), block):
                     q = slice(j, j + block)
                     total = n[p, None] + n[None, q]
-                    apart = np.zeros(total.shape, np.int64)
-                    for w in range(bits.shape[1]):
-                        apart += np.bitwise_count(bits[p, None, w] ^ bits[None, q, w])
+                    if total.size * bits.shape[1] <= 1 << 18:
+                        apart = np.bitwise_count(bits[p, None] ^ bits[None, q]).sum(2, dtype=np.int64)
+                    else:  # a word of the sketches at a time
+                        apart = np.zeros(total.shape, np.int64)
+                        for w in range(bits.shape[1]):
+                            apart += np.bitwise_count(bits[p, None, w] ^ bits[None, q, w])
                     open_pairs = (100 * (total - apart) >= percent * (total + apart)) & (comp[p, None] != comp[None, q])
                     if nearest:
                         apart[~open_pairs] = np.iinfo(np.int64).max
