@@ -52,12 +52,11 @@ def winnow(h: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> n
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, pos) of docs (doc_id not null, text)."""
+    """(seed, doc_id, pos) of docs (doc_id not null, text); pos: all positions of the seed in the document, so that a seed has a row for each document at most."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types = {"seed": pa.int64(), "doc_id": pa.int64(), "pos": pa.int32()}
         for b in batches:
             ids, column = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text")
             for i, _, raw, at in texts(column.fill_null("") if column.null_count else column):
@@ -65,9 +64,16 @@ def seeds(docs: DataFrame) -> DataFrame:
                 h = windows(words, K)
                 pos = winnow(h, at)
                 row = np.searchsorted(at, pos, side="right") - 1
-                yield from rows_of({"seed": h[pos].view(np.int64), "doc_id": ids[i + row], "pos": (pos - at[row]).astype(np.int32)}, types)
+                order = np.lexsort((pos, h[pos], row))
+                pos, row = pos[order], row[order]
+                seed = h[pos]
+                first = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])])[: len(pos)])
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(pos)), pa.int32()), pa.array((pos - at[row]).astype(np.int32)))
+                for j in range(0, len(first), 65_536):
+                    f = first[j : j + 65_536]
+                    yield pa.RecordBatch.from_arrays([pa.array(seed[f].view(np.int64)), pa.array(ids[i + row[f]], pa.int64()), places.slice(j, 65_536)], ["seed", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, pos int")
+    return docs.mapInArrow(run, "seed long, doc_id long, pos array<int>")
 
 
 def matches(seed_rows: DataFrame) -> DataFrame:
@@ -79,15 +85,19 @@ def matches(seed_rows: DataFrame) -> DataFrame:
         types = {"b": pa.int64(), "a": pa.int64(), "pos_b": pa.int32(), "pos_a": pa.int32()}
         held = None
         for batch in batches:
-            seed, doc, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "doc_id", "pos"))
+            seed, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "doc_id"))
             if not len(seed):
                 continue
+            n, all_pos = batch.column("pos").value_lengths().to_numpy(), batch.column("pos").flatten().to_numpy()
+            pos = all_pos[np.cumsum(n) - n]  # the first ones
             new = np.concatenate([[held is None or seed[0] != held[0]], seed[1:] != seed[:-1]])
             start = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
             a, pos_a = (np.where(start >= 0, x[start], 0 if held is None else held[i]) for i, x in ((1, doc), (2, pos)))
             held = int(seed[-1]), int(a[-1]), int(pos_a[-1])
-            at = np.flatnonzero(a != doc)
-            yield from rows_of({"b": doc[at], "a": a[at], "pos_b": pos[at], "pos_a": pos_a[at].astype(np.int32)}, types)
+            other = np.repeat(a != doc, n)
+            told = {"b": doc, "a": a, "pos_a": pos_a.astype(np.int32)}
+            told = {c: np.repeat(v, n)[other] for c, v in told.items()} | {"pos_b": all_pos[other]}
+            yield from rows_of({c: told[c] for c in types}, types)
 
     return seed_rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(run, "b long, a long, pos_b int, pos_a int")
 
@@ -303,7 +313,8 @@ def merged(hits: DataFrame, min_words: int, share: float, gap: int) -> DataFrame
 def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, n_words, matched_words, source_doc_id: the passages of documents that earlier documents (by doc_id) hold too.
 
-    Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; positions count them. source_doc_id has the largest part of the passage. A first
+    Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; positions count them. Where a passage has versions, it may begin or end up to
+    WINDOW - 1 words late or early: beyond its last seed it is followed in the first document with that seed. source_doc_id has the largest part of the passage. A first
     occurrence, a text of fewer than min_words words, null and empty texts have no row; repeats within one document aren't looked for.
     Of rows that repeat a doc_id the one with the greatest text counts; rows without a doc_id are left out. An empty table gives an empty
     result. Other columns of docs are not read.
