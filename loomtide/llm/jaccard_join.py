@@ -157,7 +157,7 @@ def signed(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
 
 
 def grouped(signed_rows: DataFrame) -> DataFrame:
-    """(sig, rep, leader) of the groups with two members at least. Each task reads its rows in order of sig and rep, and holds a batch."""
+    """(sig, rep, leader) of the groups with two members at least. Each task reads its rows in order of sig (one key, so a radix sort), and holds a batch; a leader is the least rep of its group's first batch."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,8 +169,11 @@ def grouped(signed_rows: DataFrame) -> DataFrame:
             if not len(sig):
                 continue
             new = np.concatenate([[head is None], sig[1:] != sig[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            leader = np.where(start >= 0, rep[start], 0 if head is None else head)
+            first = np.flatnonzero(np.concatenate([[True], new[1:]]))
+            leader = np.minimum.reduceat(rep, first)
+            if head is not None:
+                leader[0] = head
+            leader = np.repeat(leader, np.diff(np.append(first, len(sig))))
             many = ~new
             many[:-1] |= ~new[1:]  # the next one is of the same group
             told = np.flatnonzero(many[:-1])
@@ -180,7 +183,7 @@ def grouped(signed_rows: DataFrame) -> DataFrame:
         if head is not None:
             yield from rows_of({"sig": sig, "rep": rep, "leader": np.array([head])}, types)
 
-    return signed_rows.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(run, "sig long, rep long, leader long")
+    return signed_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, rep long, leader long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -196,7 +199,9 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) -> DataFrame:
-    """(a, b): pairs of a group (sig) of different components that their sketches allow to be linked; nearest: for each member, the one least apart.
+    """(sig, a, b): pairs of a group (sig) of different components that their sketches allow to be linked; nearest: for each member, the one least apart.
+
+    A group that has no pair here has none later either, as components only grow.
 
     rows: sig, rep, component, n_shingles, sketch. A group is read in order and held as its sketches, folded to one length; blocks of it
     are compared with blocks, and only the pairs that may be linked leave the task.
@@ -205,7 +210,10 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types, held, now = {"a": pa.int64(), "b": pa.int64()}, [], None
+        types, held, now = {"sig": pa.int64(), "a": pa.int64(), "b": pa.int64()}, [], None
+
+        def pairs(x: np.ndarray, y: np.ndarray):
+            return rows_of({"sig": np.full(len(x), now, np.int64), "a": np.minimum(x, y), "b": np.maximum(x, y)}, types)
 
         def told():
             if len(held) < 2:
@@ -242,12 +250,10 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                         best[closer], whom[closer] = least_here[closer], rep[q][at[closer]]
                     else:
                         x, y = np.nonzero(open_pairs)
-                        a, b = rep[p][x], rep[q][y]
-                        yield from rows_of({"a": np.minimum(a, b), "b": np.maximum(a, b)}, types)
+                        yield from pairs(rep[p][x], rep[q][y])
                 if nearest:
                     some = best < np.iinfo(np.int64).max
-                    a, b = rep[p][some], whom[some]
-                    yield from rows_of({"a": np.minimum(a, b), "b": np.maximum(a, b)}, types)
+                    yield from pairs(rep[p][some], whom[some])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
@@ -259,7 +265,14 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                     held.append(row)
         yield from told()
 
-    return rows.select("sig", "rep", "component", "n_shingles", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("sig", "rep", "component", "n_shingles", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
+
+
+def unlike(rows: DataFrame) -> DataFrame:
+    """rows (sig, rep, component) of groups with two components at least; of groups with the same members (sums of 128 bits of hashes) one."""
+    about = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(i)), 32)).alias(f"h{i}") for i in range(4)))
+    groups = about.filter("low < high").groupBy("n", *(f"h{i}" for i in range(4))).agg(F.min("sig").alias("sig")).select("sig", "n")
+    return rows.select("sig", "rep", "component").join(groups, "sig")
 
 
 def only(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -341,9 +354,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
     left = stage(state.join(open_groups, "sig").filter("NOT linked OR close > 0").select("sig", "rep"), "open")
     label = components(links)
     if not left.isEmpty():
-        named = named_by(left, label)
-        ranges = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("sig", "n")
-        left = stage(named.join(ranges, "sig"), "open")
+        left = stage(unlike(named_by(left, label)), "open")
         over = left.filter(F.col("n") > split_over)
         if not over.isEmpty():
             again = signed(only(text, stage(over.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k, percent, seed=1).withColumnRenamed("sig", "sig2")
@@ -352,7 +363,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
         done, full = verdict.select("a", "b"), False
         for round_ in range(NEAREST_ROUNDS + 1):
             full = full or round_ == NEAREST_ROUNDS
-            maybe = stage(compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, not full).join(done, ["a", "b"], "left_anti"), "maybe")
+            near = compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, not full)
+            near = near if full else stage(near, "near")
+            maybe = stage(near.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "maybe")
+            if not full:
+                left = left.join(near.select("sig").distinct(), "sig", "left_semi")
             if maybe.isEmpty():
                 if full:
                     break
@@ -366,9 +381,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
             if full:
                 break
             done = done.union(maybe)
-            left = named_by(left.select("sig", "rep"), label)
-            ranges = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-            left = stage(left.join(ranges, "sig"), "open")
+            left = stage(unlike(named_by(left.select("sig", "rep"), label)), "open")
 
     named = reps.select("key", "rep", "n_rows").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
     told = stage(named.filter(F.col("n_rows") + F.when(F.col("component") < F.col("rep"), 2).otherwise(0) > 1).select("key", "rep", "component"), "told")
