@@ -5,7 +5,7 @@ k + window - 1 words in a row share a seed in them. A seed's occurrences are joi
 not with each other: rows grow with the occurrences, whatever a seed's frequency. For each pair of documents the matched seeds are
 chained: a chain goes forward in both texts, each seed scores k and each word of a gap costs; the best predecessor comes from
 a Fenwick tree of prefix maxima over positions in the first text. Chains that may be part of a passage are aligned word by word, the
-words being cut out of the texts. The matched words of all chains of a document are laid over each other, so a passage is
+words being cut out of the first text, and those of the other one at hand. The matched words of all chains of a document are laid over each other, so a passage is
 found whole even if its parts were first seen in different documents; runs of at least `min_words` words of which `share` are matched,
 with gaps of at most `gap` words, are its repeated passages.
 """
@@ -145,12 +145,16 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K, cost: float = GAP_COST) -> l
 
 
 def chains(match_rows: DataFrame, min_words: int) -> DataFrame:
-    """(b, a, from_b, to_b, from_a, to_a) of the chains that may be part of a passage: with MARGIN words at both ends, they and other chains of b cover min_words."""
+    """(b, a, low_a, high_a, spans): the chains that may be part of a passage: with MARGIN words at both ends, they and other chains of b cover min_words.
+
+    low_a, high_a: a stretch of a with the chain and its margins, in steps of 32 words, so that a text is cut in few ways. spans: from_b, to_b, from_a, to_a of
+    all chains of b that lie in the stretch, one after the other: a line that b has again and again gives one row.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["b", "a", "from_b", "to_b", "from_a", "to_a"]
+        names = ["b", "a", "low_a", "high_a", "spans"]
         parts: list[tuple] = []
 
         def told(b: int, a: np.ndarray, y: np.ndarray, x: np.ndarray):
@@ -161,6 +165,7 @@ def chains(match_rows: DataFrame, min_words: int) -> DataFrame:
                     p, q = i + int(c[0]), i + int(c[-1])
                     found.append((int(y[p]), int(y[q]) + K, int(x[p]), int(x[q]) + K, int(a[i])))
             found.sort()
+            stretches: dict[tuple, list[int]] = {}
             i = 0
             while i < len(found):
                 j, low, high = i, found[i][0] - MARGIN, found[i][1] + MARGIN
@@ -168,13 +173,22 @@ def chains(match_rows: DataFrame, min_words: int) -> DataFrame:
                     high = max(high, found[j][1] + MARGIN)
                     j += 1
                 if high - max(low, 0) >= min_words:
-                    yield from ((b, c[4], c[0], c[1], c[2], c[3]) for c in found[i:j])
+                    for *span, of in found[i:j]:
+                        stretches.setdefault((of, max(0, (span[2] - MARGIN) // 32 * 32), -(-(span[3] + MARGIN) // 32) * 32), []).extend(span)
                 i = j
+            return [(b, *key, spans) for key, spans in stretches.items()]
 
         def flush():
             b, a, y, x = (np.concatenate(c) for c in zip(*parts, strict=True))
             parts.clear()
-            return told(int(b[0]), a, y, x)
+            order = np.lexsort((x, y, a))
+            return told(int(b[0]), a[order], y[order], x[order])
+
+        def batch_of():
+            types = [*[pa.int64()] * 4, pa.list_(pa.int32())]
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+            return got
 
         out: list[tuple] = []
         for batch in batches:
@@ -188,18 +202,17 @@ def chains(match_rows: DataFrame, min_words: int) -> DataFrame:
                     out += flush()
                 parts.append(tuple(c[i:j] for c in cols))
             if len(out) > 10_000:
-                yield from rows_of(dict(zip(names, map(np.array, zip(*out, strict=True)), strict=True)), {c: pa.int64() for c in names})
-                out = []
+                yield batch_of()
         if parts:
             out += flush()
         if out:
-            yield from rows_of(dict(zip(names, map(np.array, zip(*out, strict=True)), strict=True)), {c: pa.int64() for c in names})
+            yield batch_of()
 
-    return match_rows.repartition("b").sortWithinPartitions("b", "a", "pos_b", "pos_a").mapInArrow(run, "b long, a long, from_b long, to_b long, from_a long, to_a long")
+    return match_rows.repartition("b").sortWithinPartitions("b").mapInArrow(run, "b long, a long, low_a long, high_a long, spans array<int>")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(doc_id, low, high, first, words): the word hashes of docs from low on, up to high; wanted: doc_id, low, high, distinct and staged."""
+    """(doc_id, low, high, first, words): the word hashes of docs from low on, up to high or, if null, the end; wanted: doc_id, low, high, distinct and staged."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -209,7 +222,8 @@ def cut_out(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFram
             low, high = (b.column(c).to_pylist() for c in ("low", "high"))
             for i, n, raw, at in texts(column.fill_null("") if column.null_count else column):
                 words, at = words_of(raw, at)
-                got = [(words[at[r] + min(low[i + r], at[r + 1] - at[r]) : min(at[r] + high[i + r], at[r + 1])] >> np.uint64(32)).astype(np.uint32).tobytes() for r in range(n)]
+                size = np.diff(at).tolist()
+                got = [(words[at[r] + min(low[i + r], size[r]) : at[r] + (size[r] if high[i + r] is None else min(high[i + r], size[r]))] >> np.uint64(32)).astype(np.uint32).tobytes() for r in range(n)]
                 yield pa.RecordBatch.from_arrays([b.column(c).slice(i, n) for c in ("doc_id", "low", "high")] + [pa.array(got, pa.binary())], ["doc_id", "low", "high", "words"])
 
     _, wanted = small(wanted, broadcast_rows)
@@ -235,27 +249,6 @@ def align(p: np.ndarray, q: np.ndarray, from_p: int, to_p: int, from_q: int, to_
     return from_q, hit
 
 
-def aligned(chain_rows: DataFrame, crops: DataFrame) -> DataFrame:
-    """(b, a, first, hit): the matched words of b, as bytes from word `first` on, for each chain."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part, out = batch.slice(i, 256), []
-                for b, a, fb, tb, fa, ta, la, lb, wa, wb in zip(*(part.column(c).to_pylist() for c in ("b", "a", "from_b", "to_b", "from_a", "to_a", "low_a", "low_b", "words_a", "words_b")), strict=True):
-                    first, hit = align(np.frombuffer(wa, np.uint32), np.frombuffer(wb, np.uint32), fa - la, ta - la, fb - lb, tb - lb)
-                    out.append((b, a, first + lb, hit.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b", "a", "first", "hit"])
-
-    of = lambda side: crops.select(F.col("doc_id").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}"), F.col("words").alias(f"words_{side}"))
-    salts = 16  # a first occurrence is needed by very many chains
-    first = of("a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    both = chain_rows.join(of("b"), ["b", "low_b", "high_b"]).withColumn("salt", salt("b", salts)).join(first, ["a", "low_a", "high_a", "salt"])
-    return both.mapInArrow(run, "b long, a long, first long, hit binary")
-
-
 def runs(hit: np.ndarray, min_words: int, share: float, gap: int) -> list[tuple[int, int]]:
     """Intervals of at least min_words words, matched at both ends, with at most `gap` unmatched words in a row and `share` matched in all."""
     at = np.flatnonzero(hit)
@@ -269,20 +262,22 @@ def runs(hit: np.ndarray, min_words: int, share: float, gap: int) -> list[tuple[
     return out
 
 
-def merged(hits: DataFrame, min_words: int, share: float, gap: int) -> DataFrame:
+def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: float, gap: int) -> DataFrame:
+    """The repeated passages: each text b meets its chains with their cuts of first texts, aligns them, and lays the matched words over each other."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names, held, now, out = ["doc_id", "start_word", "n_words", "matched_words", "source_doc_id"], [], None, []
+        names, hits, now, words, out = ["doc_id", "start_word", "n_words", "matched_words", "source_doc_id"], [], None, None, []
 
         def told():
-            cover = np.zeros(max(f + len(h) for _, f, h in held), bool)
-            for _, f, h in held:
-                cover[f : f + len(h)] |= np.frombuffer(h, bool)
+            cover = np.zeros(len(words), bool)
+            for _, f, h in hits:
+                cover[f : f + len(h)] |= h
             for i, j in runs(cover, min_words, share, gap):
                 shares: dict[int, int] = {}
-                for a, f, h in held:
-                    if n := int(np.frombuffer(h, bool)[max(0, i - f) : max(0, j - f)].sum()):
+                for a, f, h in hits:
+                    if n := int(h[max(0, i - f) : max(0, j - f)].sum()):
                         shares[a] = shares.get(a, 0) + n
                 out.append((now, i, j - i, int(cover[i:j].sum()), min(shares, key=lambda a: (-shares[a], a))))
 
@@ -292,22 +287,33 @@ def merged(hits: DataFrame, min_words: int, share: float, gap: int) -> DataFrame
             return got
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                for b, a, first, hit in zip(*(part.column(c).to_pylist() for c in ("b", "a", "first", "hit")), strict=True):
-                    if held and b != now:
-                        told()
-                        held.clear()
-                    now = b
-                    held.append((a, first, hit))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for b, a, low, spans, cut in zip(*(part.column(c).to_pylist() for c in ("b", "a", "low", "spans", "words")), strict=True):
+                    if a is None:  # a text comes before its chains
+                        if hits:
+                            told()
+                            hits = []
+                        now, words = b, np.frombuffer(cut, np.uint32)
+                        continue
+                    p = np.frombuffer(cut, np.uint32)
+                    for fb, tb, fa, ta in zip(*[iter(spans)] * 4, strict=True):
+                        if tb <= len(words) and ta - low <= len(p):  # else of another row with this doc_id
+                            hits.append((a, *align(p, words, fa - low, ta - low, fb, tb)))
             if len(out) > 10_000:
                 yield batch_of()
-        if held:
+        if hits:
             told()
         if out:
             yield batch_of()
 
-    return hits.repartition("b").sortWithinPartitions("b", "a", "first").mapInArrow(run, "doc_id long, start_word long, n_words long, matched_words long, source_doc_id long")
+    salts = 16  # a first occurrence is needed by very many chains
+    whole = F.col("high").isNull()
+    first = crops.filter(~whole).select(F.col("doc_id").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), "words").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cuts = chain_rows.withColumn("salt", salt("b", salts)).join(first, ["a", "low_a", "high_a", "salt"]).select("b", "a", F.col("low_a").alias("low"), "spans", "words")
+    own = crops.filter(whole).select(F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("a"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("array<int>").alias("spans"), "words")
+    both = own.unionByName(cuts).repartition("b").sortWithinPartitions("b", F.col("a").asc_nulls_first(), "low")
+    return both.mapInArrow(run, "doc_id long, start_word long, n_words long, matched_words long, source_doc_id long")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,12 +327,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8,
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     found = stage(chains(matches(seeds(text)), min_words), "chains")
-    low = lambda c: F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - MARGIN) / 32) * 32)  # noqa: E731  few cuts of a text that many chains need
-    high = lambda c: F.ceil((F.col(c) + MARGIN) / 32) * 32
-    found = found.withColumns({"low_a": low("from_a"), "high_a": high("to_a"), "low_b": low("from_b"), "high_b": high("to_b")})
-    wanted = found.select(F.col("a").alias("doc_id"), F.col("low_a").alias("low"), F.col("high_a").alias("high")).union(found.select("b", "low_b", "high_b")).distinct()
+    none = F.lit(None).cast("long")
+    wanted = found.select(F.col("a").alias("doc_id"), F.col("low_a").alias("low"), F.col("high_a").alias("high")).distinct().union(found.select("b", F.lit(0).cast("long"), none).distinct())
     crops = stage(cut_out(text, stage(wanted, "wanted"), broadcast_rows).groupBy("doc_id", "low", "high").agg(F.max("words").alias("words")), "crops")
-    return merged(aligned(found, crops), min_words, share, gap)
+    return covered(found, crops, min_words, share, gap)
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
