@@ -201,7 +201,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) -> DataFrame:
     """(sig, a, b): pairs of a group (sig) of different components that their sketches allow to be linked; nearest: for each member, the one least apart.
 
-    A group that has no pair here has none later either, as components only grow.
+    A member that has no pair here has none later either, as components only grow; nearest names each member that has one.
 
     rows: sig, rep, component, n_shingles, sketch. A group is read in order and held as its sketches, folded to one length; blocks of it
     are compared with blocks, and only the pairs that may be linked leave the task.
@@ -366,22 +366,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
             near = compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, not full)
             near = near if full else stage(near, "near")
             maybe = stage(near.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "maybe")
-            if not full:
-                left = left.join(near.select("sig").distinct(), "sig", "left_semi")
-            if maybe.isEmpty():
-                if full:
-                    break
-                full = True
-                continue
-            more = shingle_sets(only(text, stage(maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k)
-            found = stage(measured(maybe, stage(more, "items"), percent).filter("linked").select("a", "b"), "links")
-            if not found.isEmpty():
-                links = stage(links.union(found), "links")
-                label = components(links)
+            if not full:  # a member without a pair has none later either
+                left = near.select("sig", F.explode(F.array("a", "b")).alias("rep")).distinct()
+            if not maybe.isEmpty():
+                more = shingle_sets(only(text, stage(maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k)
+                found = stage(measured(maybe, stage(more, "items"), percent).filter("linked").select("a", "b"), "links")
+                if not found.isEmpty():
+                    links = stage(links.union(found), "links")
+                    label = components(links)
+                done = done.union(maybe)
             if full:
                 break
-            done = done.union(maybe)
-            left = stage(unlike(named_by(left.select("sig", "rep"), label)), "open")
+            full = maybe.isEmpty()
+            left = stage(unlike(named_by(left, label)), "open")
 
     named = reps.select("key", "rep", "n_rows").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
     told = stage(named.filter(F.col("n_rows") + F.when(F.col("component") < F.col("rep"), 2).otherwise(0) > 1).select("key", "rep", "component"), "told")
