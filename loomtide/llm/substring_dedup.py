@@ -6,8 +6,8 @@ not with each other: rows grow with the occurrences, whatever a seed's frequency
 chained: a chain goes forward in both texts, each seed scores k and each word of a gap costs; the best predecessor comes from
 a Fenwick tree of prefix maxima over positions in the first text. Chains that may be part of a passage are aligned word by word, the
 words being cut out of the first text, and those of the other one at hand. The matched words of all chains of a document are laid over each other, so a passage is
-found whole even if its parts were first seen in different documents; runs of at least `min_words` words of which `share` are matched,
-with gaps of at most `gap` words, are its repeated passages.
+found whole even if its parts were first seen in different documents; all longest intervals of at least `min_words` words of which `share`
+are matched, with gaps of at most `gap` words, are its repeated passages, whatever thinner stretch goes on beside them.
 """
 
 from __future__ import annotations
@@ -250,15 +250,31 @@ def align(p: np.ndarray, q: np.ndarray, from_p: int, to_p: int, from_q: int, to_
 
 
 def runs(hit: np.ndarray, min_words: int, share: float, gap: int) -> list[tuple[int, int]]:
-    """Intervals of at least min_words words, matched at both ends, with at most `gap` unmatched words in a row and `share` matched in all."""
+    """Intervals of at least min_words words, matched at both ends, with at most `gap` unmatched words in a row and `share` matched in all.
+
+    Each is as long as can be, and every word of any such interval is in one of them; they overlap where two qualify and both together don't.
+    """
     at = np.flatnonzero(hit)
     if not len(at):
         return []
     out = []
     for part in np.split(at, np.flatnonzero(np.diff(at) > gap + 1) + 1):
-        i, j = int(part[0]), int(part[-1]) + 1
-        if j - i >= min_words and len(part) >= share * (j - i):
-            out.append((i, j))
+        if part[-1] + 1 - part[0] < min_words:
+            continue
+        # from match i to match j the share is met if level[j] >= level[i] + share - 1
+        level = np.arange(len(part)) - share * part
+        ahead = np.maximum.accumulate(level[::-1])
+        far = len(part) - 1 - np.searchsorted(ahead, level + share - 1 - 1e-9)  # the last such j
+        starts = np.flatnonzero(part[far] + 1 - part >= min_words).tolist()
+        reach, best, at_start = -1, -1, -1
+        for i in starts:
+            if i > reach + 1 and best > reach:
+                out.append((int(part[at_start]), int(part[best]) + 1))
+                reach = best
+            if far[i] > max(best, reach):
+                best, at_start = int(far[i]), i
+        if best > reach:
+            out.append((int(part[at_start]), int(part[best]) + 1))
     return out
 
 
@@ -335,7 +351,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8,
 
 def remove_passages(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with the passages (doc_id, start_word, n_words) cut out of their texts and n_chars, if there, set anew; texts left without a word go."""
-    spans = stage(passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("spans")), "spans")  # a document's passages don't overlap
+    spans = stage(passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("spans")), "spans")  # they may overlap, but none lies in another
     _, spans = small(spans, broadcast_rows)
     names, schema = docs.columns, docs.schema
 

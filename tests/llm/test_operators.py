@@ -138,6 +138,24 @@ def test_removed_passages(corpus, spark):
     assert out[2].text == before[2]
 
 
+def test_runs_are_all_found():
+    hit = lambda *n: np.concatenate([np.full(k, i % 2 == 0) for i, k in enumerate(n)])
+    beside = [(70, *[8, 12] * 6), (70, *[8, 6] * 5), (*[12, 8] * 6, 70)]
+    for n in beside:
+        assert set(range(70) if n[0] == 70 else range(120, 190)) <= {w for i, j in substring_dedup.runs(hit(*n), 50, 0.8, 8) for w in range(i, j)}
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        h = np.concatenate([r.random(int(r.integers(5, 90))) < p for p in r.choice([0.3, 0.7, 0.8, 0.9, 1], 5)])
+        want, sums = set(), np.append(0, np.cumsum(h))
+        for i in np.flatnonzero(h).tolist():
+            for j in np.flatnonzero(h).tolist():
+                if j + 1 - i >= 50 and 10 * (sums[j + 1] - sums[i]) >= 8 * (j + 1 - i) and np.diff(np.flatnonzero(h[i : j + 1])).max() <= 9:
+                    want.add((i, j + 1))
+        got = substring_dedup.runs(h, 50, 0.8, 8)
+        assert set(got) <= want and {w for x in got for w in range(*x)} == {w for x in want for w in range(*x)}
+        assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] for a in got for b in want)
+
+
 def test_chain_is_the_best():
     r = random.Random(2)
     for _ in range(40):
