@@ -24,6 +24,8 @@ from .jaccard_join import rows_of
 from .sets import texts, windows, word_hashes, words_of
 
 K, WINDOW, GAP_COST, MARGIN = 5, 8, 0.1, 16
+#: Of the alignment beyond a chain's ends.
+BAND, EDIT, DROP = 8, 0.5, 4
 
 
 def winnow(h: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> np.ndarray:
@@ -230,10 +232,49 @@ def cut_out(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFram
     return docs.join(wanted, "doc_id").select("doc_id", "low", "high", "text").mapInArrow(run, "doc_id long, low long, high long, words binary")
 
 
+def beyond(x: list[int], y: list[int]) -> list[int]:
+    """The words of y, from its begin on, that the best banded alignment with x from its begin on matches.
+
+    A match scores 1, an unequal, additional or missing word -EDIT; it ends at its best match (the last of equal ones), of score 0 at least,
+    and isn't looked for once all scores lie DROP below the best.
+    """
+    y = y[: len(x) + BAND]
+    if set(x).isdisjoint(y):
+        return []
+    rows = [[-EDIT * j for j in range(len(y) + 1)]]
+    best, end, none = 0.0, None, float("-inf")
+    for i, w in enumerate(x, 1):
+        before, now = rows[-1], [none] * (len(y) + 1)
+        if i <= BAND:
+            now[0] = -EDIT * i
+        for j in range(max(1, i - BAND), min(len(y), i + BAND) + 1):
+            same = w == y[j - 1]
+            now[j] = max(before[j - 1] + (1 if same else -EDIT), before[j] - EDIT, now[j - 1] - EDIT)
+            if same and now[j] == before[j - 1] + 1 and now[j] >= best:
+                best, end = now[j], (i, j)
+        rows.append(now)
+        if max(now) < best - DROP:
+            break
+    if end is None:
+        return []
+    (i, j), out = end, []
+    while i and j:
+        same = x[i - 1] == y[j - 1]
+        if rows[i][j] == rows[i - 1][j - 1] + (1 if same else -EDIT):
+            i, j = i - 1, j - 1
+            if same:
+                out.append(j)
+        elif rows[i][j] == rows[i - 1][j] - EDIT:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
 def align(p: np.ndarray, q: np.ndarray, from_p: int, to_p: int, from_q: int, to_q: int) -> tuple[int, np.ndarray]:
     """Where the alignment begins in q, and which of its words from there on are matched. p, q: words; the chain goes from from_* to to_*.
 
-    On one diagonal words are compared in place; else by longest common blocks. Both ends are extended over equal words.
+    On one diagonal words are compared in place; else by longest common blocks. Both ends are extended over equal words, then over edits.
     """
     while from_p and from_q and p[from_p - 1] == q[from_q - 1]:
         from_p, from_q = from_p - 1, from_q - 1
@@ -241,12 +282,21 @@ def align(p: np.ndarray, q: np.ndarray, from_p: int, to_p: int, from_q: int, to_
         to_p, to_q = to_p + 1, to_q + 1
     x, y = p[from_p:to_p], q[from_q:to_q]
     if len(x) == len(y) and 5 * (same := x == y).sum() >= 4 * len(y):
-        return from_q, same
-    hit = np.zeros(len(y), bool)
-    for _, j, n in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks():
-        if n >= 2:
-            hit[j : j + n] = True
-    return from_q, hit
+        hit = same
+    else:
+        hit = np.zeros(len(y), bool)
+        for _, j, n in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks():
+            if n >= 2:
+                hit[j : j + n] = True
+    left = beyond(p[:from_p][::-1].tolist(), q[max(0, from_q - from_p - BAND) : from_q][::-1].tolist())
+    right = beyond(p[to_p:].tolist(), q[to_q : to_q + len(p) - to_p + BAND].tolist())
+    if not left and not right:
+        return from_q, hit
+    n = left[-1] + 1 if left else 0
+    out = np.zeros(n + len(hit) + (right[-1] + 1 if right else 0), bool)
+    out[n : n + len(hit)] = hit
+    out[[n - 1 - j for j in left] + [n + len(hit) + j for j in right]] = True
+    return from_q - n, out
 
 
 def runs(hit: np.ndarray, min_words: int, share: float, gap: int) -> list[tuple[int, int]]:
@@ -335,8 +385,9 @@ def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: floa
 def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, n_words, matched_words, source_doc_id: the passages of documents that earlier documents (by doc_id) hold too.
 
-    Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; positions count them. Where a passage has versions, it may begin or end up to
-    WINDOW - 1 words late or early: beyond its last seed it is followed in the first document with that seed. source_doc_id has the largest part of the passage. A first
+    Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; positions count them. Beyond its outer seeds a passage is followed over edits, as far
+    as MARGIN words at least, in the first document with the seed. Where that one holds another version and a later one this version, up to
+    WINDOW - 1 words at an end may be missing; a passage that has fewer than min_words words without them has no row. source_doc_id has the largest part of the passage. A first
     occurrence, a text of fewer than min_words words, null and empty texts have no row; repeats within one document aren't looked for.
     Of rows that repeat a doc_id the one with the greatest text counts; rows without a doc_id are left out. An empty table gives an empty
     result. Other columns of docs are not read.

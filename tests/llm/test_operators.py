@@ -138,6 +138,30 @@ def test_removed_passages(corpus, spark):
     assert out[2].text == before[2]
 
 
+def test_short_passages_with_edits_near_their_ends(spark):
+    r, rows, want = random.Random(8), [], {}
+    for k in range(600):
+        n = r.randint(50, 70)
+        first = [f"{k}p{i}" for i in range(n)]
+        then = list(first)
+        near, far = r.randint(1, 12), n - 1 - r.randint(1, 12)
+        kind = k % 4
+        if kind < 3:
+            then[near] = f"{k}x"
+        if kind == 1:
+            then[far] = f"{k}y"
+        if kind == 2:
+            del first[far]
+        if kind == 3:
+            then.insert(far, f"{k}z")
+        around = lambda c: [f"{k}{c}{i}" for i in range(r.randint(1, 40))]  # noqa: B023, E731
+        start = around("a")
+        rows += [(2 * k, " ".join(around("b") + first + around("c"))), (2 * k + 1, " ".join(start + then + around("d")))]
+        want[2 * k + 1] = len(start), len(then)
+    got = {x.doc_id: (x.start_word, x.n_words) for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_runs_are_all_found():
     hit = lambda *n: np.concatenate([np.full(k, i % 2 == 0) for i, k in enumerate(n)])
     beside = [(70, *[8, 12] * 6), (70, *[8, 6] * 5), (*[12, 8] * 6, 70)]
