@@ -422,6 +422,17 @@ def state_machine(s, sf):
     return state
 
 
+@query("SELECT user_id AS node, max(value) AS state FROM events GROUP BY 1")
+def state_machine_all(s, sf):
+    """The state machine over all epochs of the table, week by week."""
+    e = daily(s, sf).select("epoch", F.col("user_id").alias("node"), "value")
+    state, better = e.filter("epoch < epoch").select("node", F.col("value").alias("state")), F.greatest("state", "value")
+    first, last = e.agg(F.min("epoch"), F.max("epoch")).first()
+    for low in range(first, last + 1, 7) if first is not None else ():
+        state, _ = graph.state_machine(e.filter(F.col("epoch").between(low, low + 6)).select("node", "value"), stage(state, "states"), F.max, better)
+    return state
+
+
 @query("""SELECT count(*) AS n, count(DISTINCT n_name) AS names, 0::BIGINT AS least, (SELECT count(DISTINCT x) - 1 FROM (SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region)) AS most FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def rename_edges(s, sf):
     e = t(s, sf, "nation").join(t(s, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))

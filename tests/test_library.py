@@ -111,6 +111,15 @@ def test_names_and_machines(spark):
     assert spark.range(1).select(mex(F.array(F.lit(0), F.lit(1), F.lit(3)))).first()[0] == 2
 
 
+def test_states_of_all_epochs(spark):
+    from loomtide.plans.queries import QUERIES
+
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        want[r.user_id] = max(r.value, want.get(r.user_id, r.value))
+    assert {r.node: r.state for r in QUERIES["state_machine_all"](spark, sf).collect()} == want
+
+
 def test_learning(spark):
     x = [[0.0, 1.0], [0.2, 0.8], [5.0, 5.0], [5.5, 4.5]]
     got = {r.cluster: (r.n, r["mean"]) for r in programs.k_means(spark.createDataFrame([(v,) for v in x], "x array<double>"), [[0, 0], [6, 6], [99, 99]], 3).collect()}
