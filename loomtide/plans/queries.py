@@ -510,16 +510,22 @@ def general_fixed_point(s, sf):
 
 
 # Learning.
+def dimensions(rows: DataFrame) -> int:
+    return rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 @query()
 def k_means(s, sf):
-    x = t(s, sf, "embeddings").select(F.slice("embedding", 1, 8).alias("x"))
-    return programs.k_means(x, [[-1.0] * 8, [1.0] * 8], 5)
+    rows = t(s, sf, "embeddings")
+    d = dimensions(rows)
+    return programs.k_means(rows.select(F.col("embedding").alias("x")), [[-1.0] * d, [1.0] * d], 5)
 
 
 @query()
 def logistic_regression(s, sf):
-    rows = t(s, sf, "embeddings").select(F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"), F.slice("embedding", 1, 8).alias("x"))
-    return programs.logistic_regression(rows, 8, 5, 0.01)
+    rows = t(s, sf, "embeddings")
+    samples = rows.select(F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"), F.col("embedding").alias("x"))
+    return programs.logistic_regression(samples, dimensions(rows), 5, 0.01)
 
 
 # Partitioning.

@@ -128,6 +128,25 @@ def test_learning(spark):
     assert [r.weight for r in w] == [-1.0, 0.25]
 
 
+def test_learning_from_whole_vectors(spark):
+    import numpy as np
+
+    from loomtide.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x, y = np.array([r.embedding for r in rows], float), np.array([1 if r.label % 2 == 0 else -1 for r in rows])
+    means, w = np.array([[-1.0] * x.shape[1], [1.0] * x.shape[1]]), np.zeros(x.shape[1])
+    for _ in range(5):
+        near = ((x[:, None] - means) ** 2).sum(2).argmin(1)
+        means = np.array([x[near == c].mean(0) if (near == c).any() else m for c, m in enumerate(means)])
+        w = w + 0.01 * ((y / (1 + np.exp(y * (x @ w)))) @ x)
+    got = {r.cluster: r for r in QUERIES["k_means"](spark, sf).collect()}
+    assert all(np.allclose(got[c]["mean"], means[c]) and got[c].n == (near == c).sum() for c in (0, 1))
+    weights = {r.j: r.weight for r in QUERIES["logistic_regression"](spark, sf).collect()}
+    assert np.allclose([weights[j] for j in range(x.shape[1])], w) and len(weights) == x.shape[1]
+
+
 def test_files_and_streams(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# c\n1 2\n3\t4")
     assert sorted((r.src, r.dst) for r in sources.read_edges(spark, [str(tmp_path / "e.txt")] * 2).collect()) == [(1, 2), (3, 4)]
