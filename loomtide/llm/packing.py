@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ChunkIds, each_encoded
+from .tokens import chunk_ids, each_encoded
 
 SCHEMA = "doc_id long, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -77,7 +77,7 @@ class Packer:
             n = p.fitting(int(self.free[at, 0]), int(self.free[at, 2]))
             if n and self.free[at, 1] >= 1:
                 head, rest = p.cut(n)
-                self.bins[at].append(head)
+                self.bins[at].append(head._replace(ids=head.ids.copy()))  # not the megabyte that it is part of
                 self.free[at] -= [n, 1, head.loss]
                 if len(rest.ids):
                     todo.appendleft(rest)
@@ -152,11 +152,12 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), open_bins:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-        packer, ids_of = Packer(limits, open_bins, emit), ChunkIds(tokenizer)
-        for ids, doc_id, masked in each_encoded(batches, ids_of, end_id, "doc_id", "masked"):
-            packer.add(Piece(doc_id, 0, ids, len(ids), min(max(0, masked), len(ids))))
-            if len(out) >= 2000:
-                yield batch()
+        packer = Packer(limits, open_bins, emit)
+        for ids, at, rows in each_encoded(batches, chunk_ids(tokenizer), end_id):
+            for doc_id, masked, i, j in zip(rows.column("doc_id").to_pylist(), rows.column("masked").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                packer.add(Piece(doc_id, 0, ids[i:j], j - i, min(max(0, masked), j - i)))
+                if len(out) >= 2000:
+                    yield batch()
         packer.close()
         if out:
             yield batch()

@@ -22,34 +22,64 @@ def mix(x: np.ndarray) -> np.ndarray:
 _RAW = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = _RAW.copy()
 _LOWER[65:91] = _RAW[97:123]
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _P, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that are kept for the next texts; those of longer texts are made anew.
+_KEPT = 1 << 21
+#: Longer texts are taken in pieces of so many bytes.
+LONG = 1 << 21
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of _P and of its inverse modulo 2**64."""
-    while len(_powers[0]) < n:
-        m = len(_powers[0])
+    powers = list(_powers)
+    while len(powers[0]) < n:
+        m = len(powers[0])
         with np.errstate(over="ignore"):
             for i, base in enumerate((_P, _INVERSE)):
-                _powers[i] = np.concatenate([_powers[i], _powers[i] * np.uint64(pow(base, m, 1 << 64))])
-    return _powers[0][:n], _powers[1][:n]
+                powers[i] = np.concatenate([powers[i], powers[i] * np.uint64(pow(base, m, 1 << 64))])
+        if len(powers[0]) <= _KEPT:
+            _powers[:] = powers
+    return powers[0][:n], powers[1][:n]
+
+
+def string_hashes(raw: np.ndarray, at: np.ndarray, values: np.ndarray = _RAW) -> np.ndarray:
+    """A 64-bit hash of each string raw[at[i]:at[i + 1]]: a polynomial of random values of the bytes, mixed with the length."""
+    return _hashed(raw, at[:-1], at[1:], values)
+
+
+def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    power, inverse = _power(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[raw] * power[: len(raw)])])
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * STEP)
+
+
+def pieces(raw: np.ndarray) -> list[int]:
+    """Offsets that cut a long text into pieces of LONG bytes, each up to the next space."""
+    cuts = [0]
+    while cuts[-1] + LONG < len(raw):
+        at = cuts[-1] + LONG
+        while at < len(raw) and not (found := SPACES[raw[at : at + LONG]]).any():
+            at += LONG
+        cuts.append(at + int(found.argmax()) if at < len(raw) else len(raw))
+    return cuts if cuts[-1] == len(raw) else [*cuts, len(raw)]
 
 
 def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of bytes: a polynomial of random values of the bytes, mixed with the length."""
-    space = _SPACE[raw]
+    if len(raw) > 2 * LONG and len(cuts := pieces(raw)) > 2:
+        got = [[x + i if k < 2 else x for k, x in enumerate(word_hashes(raw[i:j], lower))] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+    space = SPACES[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    power, inverse = _power(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _RAW)[raw] * power[: len(raw)])])
-        return start, end, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * STEP)
+    return start, end, _hashed(raw, start, end, _LOWER if lower else _RAW)
 
 
-def texts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Groups of an Arrow string column's rows with about a megabyte of text, any row whole: first row, rows, bytes, offsets of the rows."""
+def texts(column, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Groups of an Arrow string column's rows with about `most` bytes of text, any row whole: first row, rows, bytes, offsets of the rows."""
     import pyarrow as pa
 
     column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
@@ -58,16 +88,20 @@ def texts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + 1_000_000, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
         j = min(j, len(column), i + 4096)
         yield i, j - i, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
 
+def spaced(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a space between them."""
+    return (np.insert(raw, at[1:-1], 32), at + np.minimum(np.arange(len(at)), max(0, len(at) - 2))) if len(at) > 2 else (raw, at)
+
+
 def words_of(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all rows, and the offset of each row in them. A word never crosses rows."""
-    if (cuts := at[1:-1]).size:  # a space between the rows
-        raw, at = np.insert(raw, cuts, 32), at + np.arange(len(at))
+    raw, at = spaced(raw, at)
     start, _, h = word_hashes(raw, lower)
     return h, np.searchsorted(start, at)
 

@@ -2,8 +2,8 @@
 
 Texts become one stream of ids in each partition, cut into sequences of equal length. A keyed Feistel permutation over the least power
 of four that holds all sequences, walked along its cycle until it falls inside, gives each sequence its global slot: any task computes it
-by itself, and reading slots one after the other is reading in random order. Sequences are then range-partitioned by shard and each
-shard is written as one file of records of the same size, so slot s begins at byte (s mod shard) * stride of file s div shard and
+by itself, and reading slots one after the other is reading in random order. Every shard, a range of slots, is then one partition, and
+is written as one file of records of the same size, so slot s begins at byte (s mod shard) * stride of file s div shard and
 reading may resume anywhere. Files are written under another name and renamed: a task that runs twice leaves the same file.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .base import shared_dir, stage
 from .sets import STEP, mix
-from .tokens import ChunkIds, each_encoded
+from .tokens import chunk_ids, each_encoded
 
 ROUNDS = 6
 
@@ -52,11 +52,11 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
         import zstandard
         from pyspark import TaskContext
 
-        ids_of, pack, part, seq = ChunkIds(tokenizer), zstandard.ZstdCompressor(1), TaskContext.get().partitionId(), 0
+        ids_of, pack, part, seq = chunk_ids(tokenizer), zstandard.ZstdCompressor(3), TaskContext.get().partitionId(), 0
         if ids_of.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer don't fit into 16 bits")
         parts: list[np.ndarray] = []
-        begins: list[int] = []  # of the texts in the ids held
+        begins: list[np.ndarray] = []  # of the texts in the ids held
         owners: list[int | None] = []
         held, out = 0, []
         names = ["part", "seq", "n_tokens", "n_docs", "first_doc_id", "ids"]
@@ -67,13 +67,13 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
             used = min(held, n * length)
             full = np.full(n * length, pad_id, "<u2")
             full[:used] = ids[:used]
-            at, text_at = np.arange(n) * length, np.array(begins)
+            at, text_at = np.arange(n) * length, np.concatenate(begins)
             first = np.searchsorted(text_at, at, side="right") - 1
             n_docs = np.searchsorted(text_at, np.minimum(at + length, used), side="left") - first
             for i, row in enumerate(full.reshape(n, length)):
                 out.append((part, seq + i, min(length, used - i * length), int(n_docs[i]), owners[first[i]], pack.compress(row.tobytes())))
             keep = max(0, int(np.searchsorted(text_at, used, side="right")) - 1)
-            parts, begins, owners = [ids[used:]], [b - used for b in begins[keep:]], owners[keep:]
+            parts, begins, owners = [ids[used:]], [text_at[keep:] - used], owners[keep:]
             seq, held = seq + n, held - used
 
         def batch_of():
@@ -81,9 +81,9 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
             out.clear()
             return got
 
-        for ids, doc_id in each_encoded(batches, ids_of, end_id, "doc_id"):
-            begins.append(held)
-            owners.append(doc_id)
+        for ids, at, rows in each_encoded(batches, ids_of, end_id):
+            begins.append(held + at[:-1])
+            owners += rows.column("doc_id").to_pylist()
             parts.append(ids)
             held += len(ids)
             if held >= 64 * length:
@@ -144,7 +144,7 @@ def materialise(docs: DataFrame, tokenizer: str, out_dir: str | None = None, key
         if file:
             done()
 
-    dealt = placed.select("slot", "shard", "n_tokens", "n_docs", "first_doc_id", "ids").repartitionByRange(n_shards, "shard").sortWithinPartitions("slot")
+    dealt = placed.select("slot", "shard", "n_tokens", "n_docs", "first_doc_id", "ids").repartitionById(n_shards, F.pmod("shard", F.lit(n_shards)).cast("int")).sortWithinPartitions("slot")
     return dealt.mapInArrow(run, "slot long, shard long, n_tokens long, n_docs long, first_doc_id long, byte_offset long, ids_crc32 long")
 
 
