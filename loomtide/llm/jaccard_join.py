@@ -16,8 +16,9 @@ Equal sets are made one class first. Classes that share a signature are candidat
 by pair: members that are linked to the leader need no comparison with each other, and one that is far from the leader (over twice the
 threshold's distance) can be linked with none of those, since the Jaccard distance is a metric. The few members that this leaves open are
 compared where they lie, block by block, by odd sketches, which bound the distance from below; pairs of different components that
-may be linked come out, first a member with the one that seems nearest, and, once that joins no further components, all that are left. Open groups over `split_over` members are split before by the signatures of an independent hash, which
-partners share as well. Candidates are then held against each other's whole sets. So all links between different sets are found or implied.
+may be linked come out, first each member with the one that seems nearest, and, once that joins no further components, all that are
+left. Open groups over `split_over` members are split before by the signatures of independent hashes, which partners share as well.
+Candidates are then held against each other's whole sets. So all links between different sets are found or implied.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import salt, small, stage
+from .base import row_ids, salt, small, stage
 from ..operators.components import components
 from .sets import STEP, bits_apart, mix, odd_sketch, shingles, texts, words_of
 
@@ -52,7 +53,7 @@ def _bands(percent: int, power: int) -> tuple[np.ndarray, list[tuple[int, int]]]
     return np.array([b[1] for b in got]), got
 
 
-N2, SKIP, ROUNDS, NEAREST_ROUNDS = 2, 1, 8, 3
+N2, SKIP, ROUNDS, NEAREST_ROUNDS, SPLITS = 2, 1, 8, 3, 3
 SUBSETS = list(combinations(range(N2), N2 - SKIP))
 
 
@@ -130,17 +131,21 @@ def rows_of(cols: dict, types: dict) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 65_536], types[c]) for c, v in cols.items()], list(cols))
 
 
-def describe(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, key (equal for equal sets) and sketch of each row."""
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, given (an id that is carried along), n_shingles, key (equal for equal sets) and sketch of each row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for ids, items, at in each_sets(batches, k):
-            got = [items[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in got], pa.binary()), pa.array(map(odd_sketch, got), pa.binary())], ["doc_id", "n_shingles", "key", "sketch"])
+        for b in batches:
+            done = 0
+            for ids, items, at in each_sets([b], k):
+                got = [items[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                keys, sketches = [xxhash.xxh3_128_digest(x.tobytes()) for x in got], map(odd_sketch, got)
+                yield pa.RecordBatch.from_arrays([ids, b.column("given").slice(done, len(ids)), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "given", "n_shingles", "key", "sketch"])
+                done += len(ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary")
+    return docs.select("doc_id", F.col("given").cast("long").alias("given"), "text").mapInArrow(run, "doc_id long, given long, n_shingles long, key binary, sketch binary")
 
 
 def signed(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
@@ -199,9 +204,9 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) -> DataFrame:
-    """(sig, a, b): pairs of a group (sig) of different components that their sketches allow to be linked; nearest: for each member, the one least apart.
+    """(sig, a, b): pairs of a group (sig) of different components that their sketches allow to be linked, a < b; nearest: each member a that has any, once, with the b least apart.
 
-    A member that has no pair here has none later either, as components only grow; nearest names each member that has one.
+    A member that has no pair here has none later either, as components only grow.
 
     rows: sig, rep, component, n_shingles, sketch. A group is read in order and held as its sketches, folded to one length; blocks of it
     are compared with blocks, and only the pairs that may be linked leave the task.
@@ -213,7 +218,7 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
         types, held, now = {"sig": pa.int64(), "a": pa.int64(), "b": pa.int64()}, [], None
 
         def pairs(x: np.ndarray, y: np.ndarray):
-            return rows_of({"sig": np.full(len(x), now, np.int64), "a": np.minimum(x, y), "b": np.maximum(x, y)}, types)
+            return rows_of({"sig": np.full(len(x), now, np.int64), "a": x, "b": y}, types)
 
         def told():
             if len(held) < 2:
@@ -249,8 +254,9 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                         closer = least_here < best
                         best[closer], whom[closer] = least_here[closer], rep[q][at[closer]]
                     else:
-                        x, y = np.nonzero(open_pairs)
-                        yield from pairs(rep[p][x], rep[q][y])
+                        x, y = np.nonzero(open_pairs if j > i else np.triu(open_pairs))
+                        x, y = rep[p][x], rep[q][y]
+                        yield from pairs(np.minimum(x, y), np.maximum(x, y))
                 if nearest:
                     some = best < np.iinfo(np.int64).max
                     yield from pairs(rep[p][some], whom[some])
@@ -323,54 +329,68 @@ def named_by(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_sets(text: DataFrame, pairs: DataFrame, k: int, broadcast_rows: int) -> DataFrame:
+    """(rep, items) of all that pairs (a, b) name, staged."""
+    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    return stage(shingle_sets(only(text, wanted, broadcast_rows), k), "items")
+
+
+def open_members(members: DataFrame, verdict: DataFrame) -> DataFrame:
+    """(sig, rep): what the leader leaves open: members of a group that are not linked to it; and those that are, if one of the others is not far."""
+    state = members.filter("rep <> leader").join(verdict.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "far"), ["leader", "rep"])
+    groups = state.groupBy("sig").agg(F.count_if(~F.col("linked")).alias("others"), F.count_if(~F.col("linked") & ~F.col("far")).alias("close"), F.count(F.lit(1)).alias("n"))
+    groups = groups.filter("others > 1 OR (close > 0 AND n > 1)").select("sig", "close")
+    return state.join(groups, "sig").filter("NOT linked OR close > 0").select("sig", "rep")
+
+
+def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: int, broadcast_rows: int) -> DataFrame:
+    """left (sig, rep, component, n: members of the group), groups over split_over dealt by the signatures of other hashes, up to SPLITS times."""
+    for seed in range(1, SPLITS + 1):
+        over = left.filter(F.col("n") > split_over)
+        if over.isEmpty():
+            break
+        again = signed(only(text, stage(over.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), broadcast_rows), k, percent, seed).withColumnRenamed("sig", "sig2")
+        parts = stage(over.join(again, "rep").select(F.xxhash64("sig", "sig2").alias("sig"), "rep", "component"), "parts")
+        left = stage(unlike(parts).unionByName(left.filter(F.col("n") <= split_over)), "open")
+    return left
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id, one row for each row of docs.
 
     class_id: the smallest doc_id with an equal set. component_id: the smallest doc_id that links reach, itself included; two rows link
     if 100 * intersection >= percent * union of their sets of k-word shingles. Null, empty and blank texts have the empty set and are
-    linked with nothing; of fewer than k words all are one shingle. Equal rows are one class. A row with a null doc_id takes its ids
-    from an equal set that has one, else they are null. Other columns of docs are not read; an empty table gives an empty result.
+    linked with nothing; of fewer than k words all are one shingle. Equal rows are one class. Rows that share a doc_id but not the text
+    are linked each by its own text, and rows with a null doc_id like all others; an id is null only where all that links reach are.
+    Other columns of docs are not read, whatever their names; an empty table gives an empty result. unique: the ids are known to be
+    there and not repeated.
     """
-    rows = stage(describe(docs, k, id_col, text_col), "sets")
-    reps = stage(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "classes")
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    copies = stage(rows.filter("doc_id IS NOT NULL").join(reps.filter("n_rows > 1").select("key", "rep"), "key").filter("doc_id <> rep").select("doc_id"), "copies")
-    fits, gone = small(copies, broadcast_rows)
-    first = text.join(gone, "doc_id", "left_anti")
-
-    members = stage(grouped(signed(first, k, percent)), "members")
+    text = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).alias("text"))
+    text, renumbered = (text.withColumn("doc_id", F.col("given")), False) if unique else row_ids(text, "given", "doc_id", broadcast_rows)
+    rows = stage(describe(text, k), "sets")
+    reps = stage(rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "classes")
+    copies = stage(rows.join(reps.filter("n_rows > 1").select("key", "rep"), "key").filter("doc_id <> rep").select("doc_id"), "copies")
+    text = text.select("doc_id", "text")
+    members = stage(grouped(signed(text.join(small(copies, broadcast_rows)[1], "doc_id", "left_anti"), k, percent)), "members")
 
     pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     seen = stage(sketched(pairs, reps, percent), "sketched")
     wanted = seen.filter("maybe")
-    sets = stage(shingle_sets(only(text, stage(wanted.select(F.col("a").alias("doc_id")).union(wanted.select("b")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k), "items")
-    verdict = stage(measured(wanted, sets, percent).unionByName(seen.filter("NOT maybe").select("a", "b", F.lit(False).alias("linked"), "far")), "verdicts")
+    verdict = stage(measured(wanted, whole_sets(text, wanted, k, broadcast_rows), percent).unionByName(seen.filter("NOT maybe").select("a", "b", F.lit(False).alias("linked"), "far")), "verdicts")
     links = verdict.filter("linked").select("a", "b")
-
-    # What the leader leaves open: members of a group that are not linked to it; and those that are, if one of the others is not far.
-    state = members.filter("rep <> leader").join(verdict.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "far"), ["leader", "rep"])
-    open_groups = state.groupBy("sig").agg(F.count_if(~F.col("linked")).alias("others"), F.count_if(~F.col("linked") & ~F.col("far")).alias("close"), F.count(F.lit(1)).alias("n"))
-    open_groups = open_groups.filter("others > 1 OR (close > 0 AND n > 1)").select("sig", "close")
-    left = stage(state.join(open_groups, "sig").filter("NOT linked OR close > 0").select("sig", "rep"), "open")
     label = components(links)
+
+    left = stage(open_members(members, verdict), "open")
     if not left.isEmpty():
-        left = stage(unlike(named_by(left, label)), "open")
-        over = left.filter(F.col("n") > split_over)
-        if not over.isEmpty():
-            again = signed(only(text, stage(over.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k, percent, seed=1).withColumnRenamed("sig", "sig2")
-            parts = over.join(again, "rep").select(F.xxhash64("sig", "sig2").alias("sig"), "rep", "component")
-            left = stage(parts.unionByName(left.filter(F.col("n") <= split_over).select("sig", "rep", "component")), "open")
+        left = split(stage(unlike(named_by(left, label)), "open"), text, k, percent, split_over, broadcast_rows)
         done, full = verdict.select("a", "b"), False
         for round_ in range(NEAREST_ROUNDS + 1):
             full = full or round_ == NEAREST_ROUNDS
             near = compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, not full)
             near = near if full else stage(near, "near")
-            maybe = stage(near.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "maybe")
-            if not full:  # a member without a pair has none later either
-                left = near.select("sig", F.explode(F.array("a", "b")).alias("rep")).distinct()
+            maybe = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "maybe")
             if not maybe.isEmpty():
-                more = shingle_sets(only(text, stage(maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct(), "wanted"), broadcast_rows).dropDuplicates(["doc_id"]), k)
-                found = stage(measured(maybe, stage(more, "items"), percent).filter("linked").select("a", "b"), "links")
+                found = stage(measured(maybe, whole_sets(text, maybe, k, broadcast_rows), percent).filter("linked").select("a", "b"), "links")
                 if not found.isEmpty():
                     links = stage(links.union(found), "links")
                     label = components(links)
@@ -378,10 +398,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
             if full:
                 break
             full = maybe.isEmpty()
-            left = stage(unlike(named_by(left, label)), "open")
+            left = stage(unlike(named_by(near.select("sig", F.col("a").alias("rep")), label)), "open")
 
     named = reps.select("key", "rep", "n_rows").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
     told = stage(named.filter(F.col("n_rows") + F.when(F.col("component") < F.col("rep"), 2).otherwise(0) > 1).select("key", "rep", "component"), "told")
     salts = 16  # a class of very many equal rows is spread over so many tasks
     got = rows.withColumn("salt", salt("doc_id", salts)).join(told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["key", "salt"], "left")
-    return got.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    got = got.select("doc_id", "given", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    if renumbered:
+        got = stage(got, "numbered")
+        for name in ("class_id", "component_id"):
+            least = stage(got.groupBy(name).agg(F.min("given").alias("#least")), "least")
+            got = got.join(small(least, broadcast_rows)[1], name).withColumn(f"#{name}", F.col("#least")).drop("#least")
+        got = got.drop("class_id", "component_id").withColumnsRenamed({"#class_id": "class_id", "#component_id": "component_id"})
+    return got.select(F.col("given").alias("doc_id"), "n_shingles", "class_id", "component_id")
