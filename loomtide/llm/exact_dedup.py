@@ -1,10 +1,12 @@
 """Exact dedup as a tree merge of sorted digest runs. DataFrame functions only.
 
-Every row's digest goes to one of `runs` leaf runs, by its doc_id. A round merges 2**fan_bits neighbouring runs into one: equal
-digests meet, the smallest doc_id and the count go on. Equality is verified at every level: rows merge only if digest, byte length
-and a second, independent 64-bit hash agree. After log(runs)/fan_bits rounds one run, dealt over all tasks by digest, holds each
-group's verdict, which goes down the tree to the leaves and so to the rows. A hot digest has one row per leaf run at most from the
-first round on, and its rows are spread over all leaf runs, so no task receives a hot group. Only digests are shuffled, never texts.
+Every row's digest goes to one of `runs` leaf runs, by its doc_id. A run is sorted by digest; a round merges 2**fan_bits neighbouring
+runs into one: sorted, they meet in sort aggregates, equal digests become one, and the smallest doc_id and the count go on. Equality is
+verified at every level: rows merge only if digest, byte length and a second, independent 64-bit hash agree. Rounds are binomial: as
+runs get fewer, each is dealt over more tasks by digest, so that tasks stay as many and as large. After log(runs)/fan_bits rounds one
+run holds each group's verdict, which goes down the tree to the leaves and so to the rows. A hot digest has one row per leaf run at
+most from the first round on, and its rows are spread over all leaf runs, so no task receives a hot group. Only digests are shuffled,
+never texts.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ def exact_dedup(docs: DataFrame, runs: int = 256, fan_bits: int = 4, id_col: str
     are kept. An empty table gives an empty result. Other columns of docs are not read.
     """
     rows = stage(digests(docs, runs, id_col, text_col), "digests")
-    leaf = rows.groupBy(*KEY, "run").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))  # a struct, whose minimum Spark takes over sorted rows, run by run
+    leaf = rows.groupBy(*KEY, "run").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("n"))
     merged, left = leaf, runs
     while left > 1:
-        merged = merged.withColumn("run", F.shiftright("run", fan_bits)).groupBy(*KEY, "run").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        merged = merged.withColumn("run", F.shiftright("run", fan_bits)).groupBy(*KEY, "run").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
         left = -(-left // (1 << fan_bits))
-    groups = stage(merged.filter("n > 1").select(*KEY, "keep_id", F.col("n").alias("group_size")), "groups")
+    groups = stage(merged.filter("n > 1").select(*KEY, F.col("least.id").alias("keep_id"), F.col("n").alias("group_size")), "groups")
     down = leaf.select(*KEY, "run").join(groups, KEY)  # to the leaves: a row per group and run
     got = rows.alias("r").join(down.alias("d"), [*KEY, "run"], "left")
     size = F.coalesce("group_size", F.lit(1).cast("long"))
