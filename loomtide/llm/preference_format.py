@@ -14,10 +14,17 @@ START, BODY, END = "<|", "|>\n", "<|end|>\n"
 LEARNED = "assistant"
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id and its turns (role, text) in order of turn, role and text; null roles and texts are empty, a null turn comes first."""
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
+def conversation_pairs(conversations: DataFrame) -> DataFrame:
+    """conv_id, its turns (role, text) and those of its neighbour (2i and 2i + 1; empty if there is none), in order of turn, role and text.
+
+    Null roles and texts are empty, a null turn comes first. Both are gathered at once, so that the table is read and dealt once; the
+    turns without a conv_id are one conversation, without a neighbour.
+    """
+    one = F.struct(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    both = conversations.groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair")).agg(F.sort_array(F.collect_list(one)).alias("all"))
+    rows = both.select("all", F.explode(F.array_distinct(F.transform("all", lambda t: t.conv_id))).alias("conv_id"))
+    of = lambda own: F.transform(F.filter("all", lambda t: t.conv_id.eqNullSafe(F.col("conv_id")) == F.lit(own)), lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
+    return rows.select("conv_id", of(True).alias("turns"), of(False).alias("next"))
 
 
 def _text(turn: Column) -> Column:
@@ -59,13 +66,10 @@ def preference_format(pairs: DataFrame) -> DataFrame:
 def reply_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs for preference_format from plain conversations: chosen is a conversation up to its last reply; rejected has in its place the
     last reply of the conversation next to it (2i and 2i + 1), if there is one. Without a reply both are the whole conversation."""
-    at = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t.role == LEARNED)), True) + 1  # of the last reply; size + 1 if none
-    rows = turns(conversations).withColumn("at", at.cast("int")).withColumn("reply", F.get("turns", F.col("at") - 1))
-    other = rows.filter("reply IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.array("reply").alias("instead"))
-    got = rows.join(other, "conv_id", "left")
-    none = F.array().cast("array<struct<role:string,text:string>>")
-    before = F.slice("turns", F.lit(1), F.col("at") - 1)
-    return got.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("at")).alias("chosen"), F.when(F.col("reply").isNull(), F.col("turns")).otherwise(F.concat(before, F.coalesce("instead", none))).alias("rejected"))
+    last = lambda c: (F.size(c) - F.array_position(F.reverse(F.transform(c, lambda t: t.role == LEARNED)), True) + 1).cast("int")  # noqa: E731  of the last reply; size + 1 if none
+    rows = conversation_pairs(conversations).select("conv_id", "turns", last("turns").alias("at"), F.get("next", last("next") - 1).alias("instead"))
+    before = F.concat(F.slice("turns", F.lit(1), F.col("at") - 1), F.filter(F.array("instead"), lambda t: t.isNotNull()))
+    return rows.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("at")).alias("chosen"), F.when(F.col("at") > F.size("turns"), F.col("turns")).otherwise(before).alias("rejected"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
