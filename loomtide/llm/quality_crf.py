@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import stage, tidy
+
 SYMBOLS, DIGITS = "#*$%&|<>", "0123456789"
 
 
@@ -140,16 +142,24 @@ def held_out(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, longest_text: int = 200_000) -> Model:
-    """A model from a bounded sample: `most` labelled rows that are not held out, of texts of at most `longest_text` bytes.
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, longest_text: int = 200_000, most_bytes: int = 64_000_000) -> Model:
+    """A model from a bounded sample: `most` labelled ids that are not held out, texts of at most `longest_text` bytes, `most_bytes` in all.
 
     The sample is by a hash of doc_id, so it is the same on every run. Labels other than 0 and 1 are not used; of repeated labels the
-    smallest counts. Without labelled rows of both kinds, all lines count as good (score 0.5 and above nowhere trained).
+    smallest counts, and of a repeated doc_id its least text. Without labelled rows of both kinds, all lines count as good (score 0.5
+    and above nowhere trained).
     """
+    order = F.xxhash64("doc_id")
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out())
-              .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+              .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= longest_text)
-    rows = sorted(texts.join(F.broadcast(picked), "doc_id").collect())  # at most `most` ids
+    sample = stage(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")  # at most `most` rows
+    sizes, ids = sample.select("doc_id", F.octet_length("text").alias("n"), order.alias("h")).orderBy("h", "doc_id").collect(), []
+    for r in sizes:
+        if (most_bytes := most_bytes - r.n) < 0:
+            break
+        ids.append(r.doc_id)
+    rows = sorted(sample.filter(F.col("doc_id").isin(ids)).collect() if ids else [])
     y = [r.quality for r in rows]
     if len(set(y)) < 2:
         return Model(np.zeros(39), np.zeros((2, 2)), np.zeros(39), np.ones(39), (1.0, 0.5))
@@ -157,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, longest_text: in
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column `name`, 0 to 1: P(high quality). Reads the text alone; null is empty. All columns and rows stay as they are."""
+    """docs with a column `name`, 0 to 1: P(high quality). Reads the text alone; null is empty. All rows and other columns stay as they are; a column `name` is replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([f for f in docs.schema.fields if f.name != name] + [StructField(name, DoubleType())])
@@ -172,11 +182,14 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 got = scores(model, [t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs; null and empty texts are scored as one empty line, equal rows alike."""
+    """doc_id, held_out, score and predicted for each row of docs; null and empty texts are scored as one empty line, equal rows alike.
+
+    A null doc_id is carried along, and not held out. An empty table gives an empty result. Other columns of docs are not read.
+    """
     model = train(docs, labels)
     rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
