@@ -13,17 +13,20 @@ are matched, with gaps of at most `gap` words, are its repeated passages, whatev
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import salt, small, stage
+from .base import row_ids, salt, small, stage, tidy
 from .jaccard_join import rows_of
 from .sets import texts, windows, word_hashes, words_of
 
 K, WINDOW, GAP_COST, MARGIN = 5, 8, 0.1, 16
+#: Of the alignment within a chain: words off the straight line, and cells of its table, beyond which it is halved.
+OFF, CELLS = 32, 4_000_000
+#: Chains with one cut from which on it is dealt to several tasks, and to how many.
+HOT, SALTS = 1_000, 16
 #: Of the alignment beyond a chain's ends.
 BAND, EDIT, DROP = 8, 0.5, 4
 
@@ -75,7 +78,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                     f = first[j : j + 65_536]
                     yield pa.RecordBatch.from_arrays([pa.array(seed[f].view(np.int64)), pa.array(ids[i + row[f]], pa.int64()), places.slice(j, 65_536)], ["seed", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, pos array<int>")
+    return docs.mapInArrow(tidy(run), "seed long, doc_id long, pos array<int>")
 
 
 def matches(seed_rows: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def matches(seed_rows: DataFrame) -> DataFrame:
             told = {c: np.repeat(v, n)[other] for c, v in told.items()} | {"pos_b": all_pos[other]}
             yield from rows_of({c: told[c] for c in types}, types)
 
-    return seed_rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(run, "b long, a long, pos_b int, pos_a int")
+    return seed_rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(tidy(run), "b long, a long, pos_b int, pos_a int")
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int = K, cost: float = GAP_COST) -> list[np.ndarray]:
@@ -210,26 +213,32 @@ def chains(match_rows: DataFrame, min_words: int) -> DataFrame:
         if out:
             yield batch_of()
 
-    return match_rows.repartition("b").sortWithinPartitions("b").mapInArrow(run, "b long, a long, low_a long, high_a long, spans array<int>")
+    return match_rows.repartition("b").sortWithinPartitions("b").mapInArrow(tidy(run), "b long, a long, low_a long, high_a long, spans array<int>")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(doc_id, low, high, first, words): the word hashes of docs from low on, up to high or, if null, the end; wanted: doc_id, low, high, distinct and staged."""
+    """(doc_id, low, high, words): the word hashes of docs from low on, up to high or, if null, the end; wanted: doc_id and its places (low, high), staged."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        types = {"doc_id": pa.int64(), "low": pa.int64(), "high": pa.int64(), "words": pa.binary()}
         for b in batches:
-            column = b.column("text")
-            low, high = (b.column(c).to_pylist() for c in ("low", "high"))
+            column, ids, places = b.column("text"), b.column("doc_id"), b.column("places")
             for i, n, raw, at in texts(column.fill_null("") if column.null_count else column):
                 words, at = words_of(raw, at)
-                size = np.diff(at).tolist()
-                got = [(words[at[r] + min(low[i + r], size[r]) : at[r] + (size[r] if high[i + r] is None else min(high[i + r], size[r]))] >> np.uint64(32)).astype(np.uint32).tobytes() for r in range(n)]
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, n) for c in ("doc_id", "low", "high")] + [pa.array(got, pa.binary())], ["doc_id", "low", "high", "words"])
+                words = (words >> np.uint64(32)).astype(np.uint32)
+                out: dict[str, list] = {c: [] for c in types}
+                for r, (doc, cuts) in enumerate(zip(ids.slice(i, n).to_pylist(), places.slice(i, n).to_pylist(), strict=True)):
+                    own = words[at[r] : at[r + 1]]
+                    for cut in cuts:
+                        low, high = cut["low"], cut["high"]
+                        for c, v in zip(out, (doc, low, high, own[low : len(own) if high is None else high].tobytes()), strict=True):
+                            out[c].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, types[c]) for c, v in out.items()], list(out))
 
-    _, wanted = small(wanted, broadcast_rows)
-    return docs.join(wanted, "doc_id").select("doc_id", "low", "high", "text").mapInArrow(run, "doc_id long, low long, high long, words binary")
+    _, wanted = small(wanted, broadcast_rows, "places")
+    return docs.join(wanted, "doc_id").select("doc_id", "places", "text").mapInArrow(tidy(run), "doc_id long, low long, high long, words binary")
 
 
 def beyond(x: list[int], y: list[int]) -> list[int]:
@@ -271,10 +280,54 @@ def beyond(x: list[int], y: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """(i, j) of a longest common subsequence of the words x and y within a band about the straight line, row by row.
+
+    Of a table over CELLS, both sides are cut at the 5 words nearest the middle of x that each of them has once; without any, words are
+    compared place by place.
+    """
+    n, m = len(x), len(y)
+    if not n or not m:
+        return []
+    low, high = min(0, m - n) - OFF, max(0, m - n) + OFF
+    if n * (high - low + 1) > CELLS:
+        (u, at_x, n_x), (v, at_y, n_y) = (np.unique(windows(z, K), return_index=True, return_counts=True) for z in (x.astype(np.uint64), y.astype(np.uint64)))
+        _, i, j = np.intersect1d(u[n_x == 1], v[n_y == 1], assume_unique=True, return_indices=True)
+        i, j = at_x[n_x == 1][i], at_y[n_y == 1][j]
+        if not len(i):
+            return [(int(i), int(i)) for i in np.flatnonzero(x[: min(n, m)] == y[: min(n, m)])]
+        at = int(np.abs(i - n // 2).argmin())
+        i, j = int(i[at]), int(j[at])
+        rest = common(x[i + K :], y[j + K :])
+        return common(x[:i], y[:j]) + [(i + d, j + d) for d in range(K)] + [(i + K + a, j + K + b) for a, b in rest]
+    padded = np.concatenate([np.full(-low, -1), y, np.full(max(0, n + high - m), -1)]).astype(np.int64)  # y[i + d] is padded[i + d - low]
+    width = high - low + 1
+    rows, same = np.zeros((n + 1, width + 1), np.int32), np.empty((n, width), bool)
+    for i in range(n):
+        same[i] = padded[i : i + width] == x[i]
+        np.maximum.accumulate(np.maximum(rows[i, :width] + same[i], rows[i, 1:]), out=rows[i + 1, :width])
+    out, i, d = [], n - 1, m - n - low
+    while i >= 0 and 0 <= i + d + low:
+        best = rows[i + 1, d]
+        if same[i, d] and best == rows[i, d] + 1:
+            out.append((i, i + d + low))
+            i -= 1
+        elif best == rows[i, d + 1]:
+            i, d = i - 1, d + 1
+            if d == width:
+                break
+        elif d:
+            d -= 1
+        else:
+            break
+    return out[::-1]
+
+
 def align(p: np.ndarray, q: np.ndarray, from_p: int, to_p: int, from_q: int, to_q: int) -> tuple[int, np.ndarray]:
     """Where the alignment begins in q, and which of its words from there on are matched. p, q: words; the chain goes from from_* to to_*.
 
-    On one diagonal words are compared in place; else by longest common blocks. Both ends are extended over equal words, then over edits.
+    On one diagonal words are compared in place; else stretches of two words and more of a longest common subsequence count. Both ends
+    are extended over equal words, then over edits.
     """
     while from_p and from_q and p[from_p - 1] == q[from_q - 1]:
         from_p, from_q = from_p - 1, from_q - 1
@@ -285,9 +338,10 @@ def align(p: np.ndarray, q: np.ndarray, from_p: int, to_p: int, from_q: int, to_
         hit = same
     else:
         hit = np.zeros(len(y), bool)
-        for _, j, n in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks():
-            if n >= 2:
-                hit[j : j + n] = True
+        if met := common(x, y):
+            i, j = np.array(met).T
+            near = (np.diff(i) == 1) & (np.diff(j) == 1)
+            hit[j[np.append(near, False) | np.append(False, near)]] = True
     left = beyond(p[:from_p][::-1].tolist(), q[max(0, from_q - from_p - BAND) : from_q][::-1].tolist())
     right = beyond(p[to_p:].tolist(), q[to_q : to_q + len(p) - to_p + BAND].tolist())
     if not left and not right:
@@ -328,8 +382,11 @@ def runs(hit: np.ndarray, min_words: int, share: float, gap: int) -> list[tuple[
     return out
 
 
-def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: float, gap: int) -> DataFrame:
-    """The repeated passages: each text b meets its chains with their cuts of first texts, aligns them, and lays the matched words over each other."""
+def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: float, gap: int, broadcast_rows: int) -> DataFrame:
+    """The repeated passages: each text b meets its chains with their cuts of first texts, aligns them, and lays the matched words over each other.
+
+    A cut that over HOT chains need is dealt to SALTS tasks.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -364,8 +421,7 @@ def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: floa
                         continue
                     p = np.frombuffer(cut, np.uint32)
                     for fb, tb, fa, ta in zip(*[iter(spans)] * 4, strict=True):
-                        if tb <= len(words) and ta - low <= len(p):  # else of another row with this doc_id
-                            hits.append((a, *align(p, words, fa - low, ta - low, fb, tb)))
+                        hits.append((a, *align(p, words, fa - low, ta - low, fb, tb)))
             if len(out) > 10_000:
                 yield batch_of()
         if hits:
@@ -373,38 +429,55 @@ def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: floa
         if out:
             yield batch_of()
 
-    salts = 16  # a first occurrence is needed by very many chains
-    whole = F.col("high").isNull()
-    first = crops.filter(~whole).select(F.col("doc_id").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), "words").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    cuts = chain_rows.withColumn("salt", salt("b", salts)).join(first, ["a", "low_a", "high_a", "salt"]).select("b", "a", F.col("low_a").alias("low"), "spans", "words")
+    whole, place = F.col("high").isNull(), ["a", "low_a", "high_a"]
+    hot = stage(chain_rows.groupBy(*place).count().filter(F.col("count") > HOT).select(*place, F.lit(SALTS).alias("salts")), "hot_cuts")  # one in HOT chains at most
+    hot = small(hot, broadcast_rows)[1]
+    first = crops.filter(~whole).select(F.col("doc_id").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), "words")
+    first = first.join(hot, place, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = chain_rows.join(hot, place, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(salt("b", SALTS)))
+    cuts = dealt.join(first, [*place, "salt"]).select("b", "a", F.col("low_a").alias("low"), "spans", "words")
     own = crops.filter(whole).select(F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("a"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("array<int>").alias("spans"), "words")
     both = own.unionByName(cuts).repartition("b").sortWithinPartitions("b", F.col("a").asc_nulls_first(), "low")
-    return both.mapInArrow(run, "doc_id long, start_word long, n_words long, matched_words long, source_doc_id long")
+    return both.mapInArrow(tidy(run), "doc_id long, start_word long, n_words long, matched_words long, source_doc_id long")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """doc_id, start_word, n_words, matched_words, source_doc_id: the passages of documents that earlier documents (by doc_id) hold too.
 
     Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; positions count them. Beyond its outer seeds a passage is followed over edits, as far
     as MARGIN words at least, in the first document with the seed. Where that one holds another version and a later one this version, up to
     WINDOW - 1 words at an end may be missing; a passage that has fewer than min_words words without them has no row. source_doc_id has the largest part of the passage. A first
     occurrence, a text of fewer than min_words words, null and empty texts have no row; repeats within one document aren't looked for.
-    Of rows that repeat a doc_id the one with the greatest text counts; rows without a doc_id are left out. An empty table gives an empty
-    result. Other columns of docs are not read.
+    Rows that share a doc_id are texts of their own, and may be each other's first occurrence; so are rows without a doc_id, whose id is
+    null. An empty table gives an empty result. Other columns of docs are not read, whatever their names. unique: the ids are known to
+    be there and not repeated.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    text = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).alias("text"))
+    text, renumbered = (text.withColumn("doc_id", F.col("given")), False) if unique else row_ids(text, "given", "doc_id", broadcast_rows)
+    given, text = text.select("doc_id", "given"), text.select("doc_id", "text")
     found = stage(chains(matches(seeds(text)), min_words), "chains")
     none = F.lit(None).cast("long")
     wanted = found.select(F.col("a").alias("doc_id"), F.col("low_a").alias("low"), F.col("high_a").alias("high")).distinct().union(found.select("b", F.lit(0).cast("long"), none).distinct())
-    crops = stage(cut_out(text, stage(wanted, "wanted"), broadcast_rows).groupBy("doc_id", "low", "high").agg(F.max("words").alias("words")), "crops")
-    return covered(found, crops, min_words, share, gap)
+    wanted = stage(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("places")), "wanted")  # as many as a text has stretches
+    crops = stage(cut_out(text, wanted, broadcast_rows), "crops")
+    got = covered(found, crops, min_words, share, gap, broadcast_rows)
+    if renumbered:
+        for name in ("doc_id", "source_doc_id"):
+            names = given.select(F.col("doc_id").alias(name), F.col("given").alias(f"#{name}"))
+            got = got.join(names, name).drop(name).withColumnRenamed(f"#{name}", name)
+    return got.select("doc_id", "start_word", "n_words", "matched_words", "source_doc_id")
+
 
+def remove_passages(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id") -> DataFrame:
+    """docs with the passages (doc_id, start_word, n_words) cut out of their texts and n_chars, if there, set anew; texts left without a word go.
 
-def remove_passages(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs with the passages (doc_id, start_word, n_words) cut out of their texts and n_chars, if there, set anew; texts left without a word go."""
-    spans = stage(passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("spans")), "spans")  # they may overlap, but none lies in another
-    _, spans = small(spans, broadcast_rows)
-    names, schema = docs.columns, docs.schema
+    id_col: of docs, met with the passages' doc_id; rows that share an id are all cut. Rows without a passage stay as they are, whatever
+    columns they have; only the others are read in Python.
+    """
+    spans = stage(passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("#spans")), "spans")  # they may overlap, but none lies in another
+    spans = spans.withColumnRenamed("doc_id", "#doc")
+    ids, spans = small(spans.select("#doc"), broadcast_rows)[1], small(spans, broadcast_rows, "#spans")[1]
+    names, schema, on = docs.columns, docs.schema, F.col(f"`{id_col}`") == F.col("#doc")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -414,18 +487,18 @@ def remove_passages(docs: DataFrame, passages: DataFrame, broadcast_rows: int =
                 part = batch.slice(i, 256)
                 out, keep = [], []
                 for text, cut in zip(part.column("text").to_pylist(), part.column("#spans").to_pylist(), strict=True):
-                    if cut:
-                        raw = text.encode()
-                        start, end, _ = word_hashes(np.frombuffer(raw, np.uint8))
-                        pieces, at = [], 0
-                        for s in cut:
-                            if s["start_word"] < len(start):
-                                pieces.append(raw[at : start[s["start_word"]]])
-                                at = int(end[min(len(end), s["start_word"] + s["n_words"]) - 1])
-                        text = b"".join([*pieces, raw[at:]]).decode()
-                    out.append(text)
-                    keep.append(not cut or bool(text.encode().split()))
-                table = pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else pa.array([len(t or "") if s else n for t, s, n in zip(out, part.column("#spans").to_pylist(), part.column(c).to_pylist(), strict=True)], pa.int64()) if c == "n_chars" else part.column(c) for c in names], names)
+                    raw = text.encode()
+                    start, end, _ = word_hashes(np.frombuffer(raw, np.uint8))
+                    pieces, at = [], 0
+                    for s in cut:
+                        if s["start_word"] < len(start):
+                            pieces.append(raw[at : start[s["start_word"]]])
+                            at = int(end[min(len(end), s["start_word"] + s["n_words"]) - 1])
+                    out.append(b"".join([*pieces, raw[at:]]).decode())
+                    keep.append(bool(out[-1].encode().split()))
+                new = {"text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())}
+                table = pa.RecordBatch.from_arrays([new[c].cast(part.column(c).type) if c in new else part.column(c) for c in names], names)
                 yield table.filter(pa.array(keep, pa.bool_()))
 
-    return docs.join(spans.withColumnRenamed("spans", "#spans"), "doc_id", "left").select(*names, "#spans").mapInArrow(run, schema)
+    cut = docs.join(spans, on).select(*(F.col(f"`{c}`") for c in names), "#spans").mapInArrow(tidy(run), schema)
+    return docs.join(ids, on, "left_anti").unionByName(cut)
