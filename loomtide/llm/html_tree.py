@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import tidy
+
 #: Kinds of elements (fixed values of HTML).
 KINDS = {
     "root": "html body", "article": "article", "main": "main", "section": "section", "div": "div center", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "paragraph": "p", "list": "ul ol dl menu", "item": "li dt dd",
@@ -331,4 +333,4 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
                 got = texts(part.column("#html").to_pylist(), learned)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias("#html")).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias("#html")).mapInArrow(tidy(run), schema)

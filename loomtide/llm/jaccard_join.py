@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import row_ids, salt, small, stage
+from .base import row_ids, salt, small, stage, tidy
 from ..operators.components import components
 from .sets import STEP, bits_apart, mix, odd_sketch, shingles, texts, words_of
 
@@ -145,7 +145,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, b.column("given").slice(done, len(ids)), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "given", "n_shingles", "key", "sketch"])
                 done += len(ids)
 
-    return docs.select("doc_id", F.col("given").cast("long").alias("given"), "text").mapInArrow(run, "doc_id long, given long, n_shingles long, key binary, sketch binary")
+    return docs.select("doc_id", F.col("given").cast("long").alias("given"), "text").mapInArrow(tidy(run), "doc_id long, given long, n_shingles long, key binary, sketch binary")
 
 
 def signed(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
@@ -158,7 +158,7 @@ def signed(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
             row, sig = signatures(items, at, percent, seed)
             yield from rows_of({"sig": sig.view(np.int64), "rep": ids.to_numpy(zero_copy_only=False)[row]}, {"sig": pa.int64(), "rep": pa.int64()})
 
-    return docs.mapInArrow(run, "sig long, rep long")
+    return docs.mapInArrow(tidy(run), "sig long, rep long")
 
 
 def grouped(signed_rows: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def grouped(signed_rows: DataFrame) -> DataFrame:
         if head is not None:
             yield from rows_of({"sig": sig, "rep": rep, "leader": np.array([head])}, types)
 
-    return signed_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, rep long, leader long")
+    return signed_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(run), "sig long, rep long, leader long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -200,7 +200,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
         for ids, items, at in each_sets(batches, k):
             yield pa.RecordBatch.from_arrays([ids, pa.array([items[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["rep", "items"])
 
-    return docs.mapInArrow(run, "rep long, items binary")
+    return docs.mapInArrow(tidy(run), "rep long, items binary")
 
 
 def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) -> DataFrame:
@@ -271,7 +271,7 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                     held.append(row)
         yield from told()
 
-    return rows.select("sig", "rep", "component", "n_shingles", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
+    return rows.select("sig", "rep", "component", "n_shingles", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(run), "sig long, a long, b long")
 
 
 def unlike(rows: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(far, pa.bool_())], ["a", "b", "linked", "far"])
 
     x, y = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, far boolean")
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean, far boolean")
 
 
 def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +322,7 @@ def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(100 * (total - a) >= percent * either2, pa.bool_()), pa.array(100 * 2 * a > 2 * (100 - percent) * either2, pa.bool_())], ["a", "b", "maybe", "far"])
 
     x, y = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n_a")), reps.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("n_b"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, "a long, b long, maybe boolean, far boolean")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(tidy(run), "a long, b long, maybe boolean, far boolean")
 
 
 def named_by(members: DataFrame, label: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import tidy
 from .tokens import chunk_ids, each_encoded
 
 SCHEMA = "doc_id long, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), open_bins:
         if out:
             yield batch()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), prompt.alias("masked")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), prompt.alias("masked")).mapInArrow(tidy(run), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import salt, small, stage
+from .base import salt, small, stage, tidy
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Characters that count as symbols.
@@ -49,7 +49,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols = zip(*map(counts, part.column("text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "host", *COUNTS])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def failed() -> Column:

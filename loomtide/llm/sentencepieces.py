@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import tidy
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the least score of a unigram model.
@@ -190,7 +192,7 @@ def _mapped(df: DataFrame, path: str, name: str, kind: str, get: str, make) -> D
                 got = [make(pieces, x) for x in part.column("#in").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.binary() if kind == "binary" else pa.string())], [*keep, name])
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(get).alias("#in")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(get).alias("#in")).mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids") -> DataFrame:

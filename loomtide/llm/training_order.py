@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import shared_dir, stage
+from .base import shared_dir, stage, tidy
 from .sets import STEP, mix
 from .tokens import chunk_ids, each_encoded
 
@@ -94,7 +94,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, pad_id:
         if out:
             yield batch_of()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, seq long, n_tokens long, n_docs long, first_doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "part long, seq long, n_tokens long, n_docs long, first_doc_id long, ids binary")
 
 
 def materialise(docs: DataFrame, tokenizer: str, out_dir: str | None = None, key: int = 20240229, length: int = 2048, shard: int = 2048, end_id: int = 49407, pad_id: int = 49407) -> DataFrame:
@@ -145,7 +145,7 @@ def materialise(docs: DataFrame, tokenizer: str, out_dir: str | None = None, key
             done()
 
     dealt = placed.select("slot", "shard", "n_tokens", "n_docs", "first_doc_id", "ids").repartitionById(n_shards, F.pmod("shard", F.lit(n_shards)).cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(run, "slot long, shard long, n_tokens long, n_docs long, first_doc_id long, byte_offset long, ids_crc32 long")
+    return dealt.mapInArrow(tidy(run), "slot long, shard long, n_tokens long, n_docs long, first_doc_id long, byte_offset long, ids_crc32 long")
 
 
 def shard_file(root: str, shard: int) -> str:
