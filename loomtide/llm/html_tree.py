@@ -32,8 +32,12 @@ KIND = {tag: i for i, tags in enumerate(KINDS.values()) for tag in tags.split()}
 OTHER = len(KINDS)
 BLOCK = frozenset(" ".join(v for k, v in KINDS.items() if k not in ("link", "inline")).split() + ["hr"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe svg object head select math audio video canvas noembed xmp".split())
+#: Their content is code.
+CODE = frozenset("script style".split())
+#: Their content is no text of the page, or text for when they can't be shown.
+HIDDEN = CODE | frozenset("noscript template textarea title iframe svg object head select audio video canvas noembed xmp".split())
+#: Elements nested deeper are children of the last one that isn't, as in browsers.
+DEEPEST = 512
 #: A start tag of the key ends an open element of the value.
 ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 ENDS |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
@@ -51,7 +55,8 @@ for _i, _words in enumerate(HINTS.values()):
 N_FEATURES = 1 + OTHER + 1 + len(HINTS) + 14
 EDGES = 4  #: kinds of edges: to inline, text block, container, and boilerplate elements
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+STOP = re.compile("[>\"']")
 ATTRS = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 LABEL = re.compile(r"""\bdata-label\s*=\s*"(\d)\"""")
 WORD = re.compile(r"[a-z]+")
@@ -62,66 +67,115 @@ class Page(NamedTuple):
     parent: list[int]
     hints: list[str]
     runs: list[tuple[int, int, str]]  #: element, block, text
+    labels: list[int | None]  #: of labelled pages
+
+
+class Scanner:
+    """Tags of a page, each character looked at a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.absent, self.found = source, source.rfind(">"), set(), {}
+
+    def end(self, at: int) -> int:
+        """Where the tag that `at` lies in ends, after its >, which no quoted value holds; -1 if nowhere. A quote that isn't closed is no quote."""
+        source = self.source
+        while m := STOP.search(source, at):
+            at = m.end()
+            if m[0] == ">":
+                return at
+            before = m.start() - 1
+            while source[before].isspace():
+                before -= 1
+            if source[before] == "=" and m[0] not in self.absent:
+                if (close := source.find(m[0], at)) < 0:
+                    self.absent.add(m[0])
+                else:
+                    at = close + 1
+        return -1
+
+    def next(self, pattern: str, at: int) -> int:
+        """Where the pattern begins next, from `at` on; the size of the page if nowhere."""
+        known = self.found.get(pattern, -1)
+        if known < at:
+            m = re.compile(pattern, re.I).search(self.source, at)
+            known = self.found[pattern] = m.start() if m else len(self.source)
+        return known
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the page goes on after a hidden element whose start tag ends at `at`. One without an end tag of its own is empty, but code goes on to the page's end."""
+        size, close = len(self.source), self.next(rf"</{tag}(?=[\s/>])", at)
+        if close == size or (tag not in CODE and self.next(rf"<{tag}(?=[\s/>])", at) < close):
+            return size if tag in CODE else at
+        end = self.source.find(">", close)
+        return end + 1 if end >= 0 else size
 
 
 def parse(source: str) -> Page:
     """The elements in page order, element 0 standing for the page, and the runs of text with their element and block."""
-    kind, parent, hints, runs, tags, stack, block, at = [0], [-1], [""], [], ["#page"], [0], 0, 0
-    size = len(source)
+    page, scan, size = Page([0], [-1], [""], [], [None]), Scanner(source), len(source)
+    runs, labelled = page.runs, "data-label" in source
+    stack: list[tuple[int, str]] = [(0, "#page")]
+    opened: dict[str, list[int]] = {}  # depths of the open elements by tag
+    fences: list[int] = []
+    block = begin = at = 0
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            _, tag = stack.pop()
+            opened[tag].pop()
+            if tag in FENCE:
+                fences.pop()
+
     while at < size:
-        m = TAG.search(source, at)
-        text = source[at : m.start() if m else size]
+        at = source.find("<", at)
+        m = NAME.match(source, at + 1) if at >= 0 else None
+        if 0 <= at < size - 1 and not m and source[at + 1] not in "!?/":
+            at += 1  # a sign
+            continue
+        text = source[begin : at if at >= 0 else size]
         if text and not text.isspace():
-            runs.append((stack[-1], block, html.unescape(text) if "&" in text else text))
+            runs.append((stack[-1][0], block, html.unescape(text) if "&" in text else text))
         elif text and runs:
-            runs.append((stack[-1], block, " "))
-        if not m:
+            runs.append((stack[-1][0], block, " "))
+        if at < 0 or at > scan.last:  # no tag ends from here on
             break
-        at = m.end()
-        if not m[2]:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            begin = at = end + 3 if end >= 0 else size
+            continue
+        if not m:
+            begin = at = source.find(">", at) + 1
             continue
-        tag = m[2].lower()
+        if (end := scan.end(m.end())) < 0:
+            break
+        given, tag = source[m.end() : end - 1], m[0].lower()
+        begin = at = end
         if tag == "br":
-            runs.append((stack[-1], block, " "))
+            runs.append((stack[-1][0], block, " "))
             continue
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
-                if tags[stack[depth]] in FENCE and tag not in FENCE:
-                    break
+        if tag[0] == "/":
+            tag = tag[1:]
+            if (open_at := opened.get(tag)) and (tag in FENCE or not fences or fences[-1] < open_at[-1]):
+                close(open_at[-1])
             block += tag in BLOCK
             continue
-        if tag in RAW:
-            if m[3].endswith("/") and tag == "svg":
-                continue
-            close_tag = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-            end = close_tag.start() if close_tag else -1
-            if tag == "head" and end < 0:
-                continue
-            close = source.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else size
+        if tag in HIDDEN:
+            begin = at = scan.after(tag, at)
             continue
+        block += tag in BLOCK
         if tag in VOID:
-            block += tag in BLOCK
             continue
-        if tag in ENDS:
-            ends = ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[depth]]
-                if open_tag in ends:
-                    del stack[depth:]
-                    break
-                if open_tag in FENCE:
-                    break
-        block += tag in BLOCK
-        kind.append(KIND.get(tag, OTHER))
-        parent.append(stack[-1])
-        tags.append(tag)
-        hints.append(" ".join(x.strip("\"'") for x in ATTRS.findall(m[3])).lower() if m[3] else "")
-        stack.append(len(kind) - 1)
-    return Page(kind, parent, hints, runs)
+        if tag in ENDS and (ended := max((opened[t][-1] for t in ENDS[tag] if opened.get(t)), default=0)) and (not fences or fences[-1] <= ended):
+            close(ended)
+        page.kind.append(KIND.get(tag, OTHER))
+        page.parent.append(stack[min(len(stack), DEEPEST) - 1][0])
+        page.hints.append(" ".join(x.strip("\"'") for x in ATTRS.findall(given)).lower() if given else "")
+        page.labels.append(int(x[1]) if labelled and (x := LABEL.search(given)) else None)
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in FENCE:
+            fences.append(len(stack))
+        stack.append((len(page.kind) - 1, tag))
+    return page
 
 
 class Forest(NamedTuple):
@@ -177,7 +231,8 @@ def forest(pages: list[Page]) -> Forest:
     for i, edge_at in enumerate((1, 3, 8)):
         x[:, b + 9 + i] = stops >= edge_at
     x[:, b + 12] = depth <= 1
-    return Forest(x, parent, edge, [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)])
+    order = np.argsort(depth, kind="stable")
+    return Forest(x, parent, edge, np.split(order, np.flatnonzero(np.diff(depth[order])) + 1))
 
 
 def sum_product(f: Forest, weights: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,11 +318,11 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, None]]:
     return out
 
 
-def known(source: str, page: Page) -> np.ndarray:
+def known(page: Page) -> np.ndarray:
     """The labels of a labelled page's elements."""
-    given, out = [LABEL.search(m[3]) for m in TAG.finditer(source) if m[2] and not m[1] and (t := m[2].lower()) not in RAW and t not in VOID], np.zeros(len(page.kind))
+    out = np.zeros(len(page.kind))
     for i in range(1, len(page.kind)):
-        out[i] = int(given[i - 1][1]) if given[i - 1] else out[page.parent[i]]
+        out[i] = out[page.parent[i]] if page.labels[i] is None else page.labels[i]
     return out
 
 
@@ -279,9 +334,8 @@ class Model(NamedTuple):
 @cache
 def train(n: int = 250, seed: int = 7, rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Model:
     """Gradient ascent with momentum from labelled_pages(n, seed): the same model on every run."""
-    sources = [re.sub(r"<title>.*?</title>", "", s) for s in labelled_pages(n, seed)]
-    pages = [parse(s) for s in sources]
-    y = np.concatenate([known(s, p) for s, p in zip(sources, pages, strict=True)])
+    pages = [parse(s) for s in labelled_pages(n, seed)]
+    y = np.concatenate([known(p) for p in pages])
     f = forest(pages)
     child = np.flatnonzero(f.parent >= 0)
     seen = np.zeros((EDGES, 2, 2))
@@ -315,8 +369,9 @@ def texts(sources: list[str | None], model: Model) -> list[str]:
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """pages without the html, with text and n_chars (code points), one row for each row.
 
-    Null, empty and text-free pages give the empty text. Elements that a cut-off page leaves open end with the page. Equal rows give
-    equal texts. Columns named text or n_chars are replaced; html of any size is read whole.
+    Null, empty and text-free pages give the empty text. Elements that a cut-off page leaves open end with the page, a tag that isn't
+    closed is dropped with what follows it. Equal rows give equal texts; an empty table gives an empty result. Columns named text or
+    n_chars are replaced; html of any size is read whole, in time that grows with its size.
     """
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 

@@ -348,8 +348,8 @@ def test_unigram_viterbi(tmp_path):
 def test_html():
     model = html_tree.train()
     sources = html_tree.labelled_pages(80, 991)
-    pages = [html_tree.parse(s.replace("<title>x</title>", "")) for s in sources]
-    y = np.concatenate([html_tree.known(s.replace("<title>x</title>", ""), p) for s, p in zip(sources, pages, strict=True)])
+    pages = [html_tree.parse(s) for s in sources]
+    y = np.concatenate([html_tree.known(p) for p in pages])
     p = np.exp(html_tree.sum_product(html_tree.forest(pages), *model)[0][:, 1]) > 0.5
     assert (p == y).mean() > 0.98
     page = '<html><body><nav><a href=/>x</a></nav><article><h1>A &amp; b</h1><p>One   two.<br>three</p><p><b>four<br><p>five &lt;six</article><div class="comments"><p>no</p></div><footer>&copy; z</footer>'
