@@ -82,6 +82,17 @@ def per_partition(df: DataFrame, keys: Sequence[str], function: Callable, schema
     return df.repartition(*keys).mapInPandas(function, schema)
 
 
+def binary_expression(a: DataFrame, b: DataFrame, left: Sequence[str], right: Sequence[str], function: Callable, schema: str) -> DataFrame:
+    """function(iterator of pandas batches) -> iterator, once for each partition; rows of a and b with equal keys are in one.
+
+    A batch has the columns of both, those of the other side null, and #side: 0 for rows of a, 1 for rows of b.
+    """
+    keyed = lambda df, keys, side: df.select(*(F.col(k).alias(f"#key{i}") for i, k in enumerate(keys)), "*", F.lit(side).alias("#side"))
+    both = keyed(a, left, 0).unionByName(keyed(b, right, 1), allowMissingColumns=True)
+    names = [f"#key{i}" for i in range(len(left))]
+    return both.repartition(*names).drop(*names).mapInPandas(function, schema)
+
+
 def sliding_counts(df: DataFrame, keys: Sequence[str], n: int, name: str = "n") -> DataFrame:
     """Records by key in the window of each epoch and the n - 1 before it, for windows that hold any."""
     counted = df.groupBy(E, *keys).agg(F.count(F.lit(1)).alias("#n"))  # before rows are multiplied

@@ -125,13 +125,20 @@ class ZSet:
         return self._best(keys, by, F.max_by)
 
     def expanded(self) -> DataFrame:
-        """A row for each unit of positive net weight."""
-        return self.consolidate().df.filter(F.col(W) > 0).select(*self.cols, F.explode(F.array_repeat(F.lit(0), F.col(W).cast("int"))).alias("#i")).drop("#i")
+        """A row for each unit of positive net weight; a weight over 1,000,000 is repeated in several lists, so that none is too long."""
+        step = 1_000_000
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(W) - 1) / step)), lambda i: F.least(F.lit(step), F.col(W) - i * step).cast("int"))
+        rows = self.consolidate().df.filter(F.col(W) > 0).select(*self.cols, F.explode(parts).alias("#n"))
+        return rows.select(*self.cols, F.explode(F.array_repeat(F.lit(0), F.col("#n"))).alias("#i")).drop("#i")
 
     def group_by(self, keys: str | Sequence[str], reducer: Callable, schema: str) -> ZSet:
         """reducer(pandas rows of a key, one for each unit of weight) -> pandas rows; records with no positive weight are not seen."""
         return ZSet.of(self.expanded().groupBy(*_cols(keys)).applyInPandas(reducer, schema))
 
+    def group_weighted(self, keys: str | Sequence[str], reducer: Callable, schema: str) -> ZSet:
+        """The same, with a row for each record and its weight instead of a row for each unit. A key's records lie in one Python worker."""
+        return ZSet(self.consolidate().df.filter(F.col(W) > 0).groupBy(*_cols(keys)).applyInPandas(reducer, schema))
+
     def co_group_by(self, other: ZSet, left: str | Sequence[str], right: str | Sequence[str], reducer: Callable, schema: str) -> ZSet:
         """reducer(rows, other rows) -> rows for each key of either side; an absent side is empty."""
         return ZSet.of(self.expanded().groupBy(*_cols(left)).cogroup(other.expanded().groupBy(*_cols(right))).applyInPandas(reducer, schema))

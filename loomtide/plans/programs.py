@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from ..functions import dot, mex, squared_distance, words
 from ..operators import graph
 from ..operators.components import components
-from ..operators.loops import fixed_point, iterate_and_accumulate, propagate_min
+from ..operators.loops import fixed_point, iterate_and_accumulate, propagate_min, propagate_min_again
 from ..operators.staging import stage
 from ..operators.zset import ZSet
 
 
+#: Terms of queries, a few dozen bytes each, that are broadcast at most.
+SEARCHED = 500_000
+
+
 def word_counts(lines: ZSet, text: str) -> ZSet:
     return lines.select_many(words(F.col(text)), "word").count("word")
 
 
 def search(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc, query, n) of docs (id, text) and queries (id, text, threshold): n distinct terms in common, at least the threshold."""
+    """(doc, query, n) of docs (id, text) and queries (id, text, threshold): n distinct terms in common, at least the threshold.
+
+    Up to SEARCHED terms of queries are broadcast: then documents' other terms go where they are read, and pairs are counted in the
+    same task, so that no frequent term is a hot key. More are joined by term.
+    """
     terms = lambda df, name, *more: df.select(F.col("id").alias(name), *more, F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    both = terms(docs, "doc").join(terms(queries, "query", "threshold"), "term")
+    asked = stage(terms(queries, "query", "threshold"), "asked")
+    if asked.limit(SEARCHED + 1).count() <= SEARCHED:
+        asked = F.broadcast(asked)
+    both = terms(docs, "doc").join(asked, "term")
     return both.groupBy("doc", "query", "threshold").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("threshold")).select("doc", "query", "n")
 
 
@@ -44,6 +55,24 @@ def directed_reach(edges: DataFrame) -> DataFrame:
     return propagate_min(nodes.withColumn("value", F.col("node")), edges)
 
 
+def components_again(components: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """connected_components(edges + added - removed) from that of edges, both ways of each edge included: only components that change are computed.
+
+    Nodes that have no edge any more are components of their own.
+    """
+    both = lambda e: e.select("src", "dst").union(e.select("dst", "src")).distinct()
+    nodes = components.select("node").union(added.select("src")).union(added.select("dst")).distinct()
+    best = components.select("node", F.col("component").alias("value"))
+    return propagate_min_again(best, nodes.withColumn("value", F.col("node")), both(edges), both(added), both(removed)).select("node", F.col("value").alias("component"))
+
+
+def named_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Names (name) that the roots (name) reach along edges of names (src, dst), roots included: names become dense numbers, and numbers names again."""
+    names = stage(graph.AutoRenamer().add(edges, "src", "dst").add(roots, "name").final(), "names")
+    found = reachable(graph.rename_edges(edges, names), graph.rename_nodes(roots, names))
+    return found.join(names, "node").select("name")
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that roots (node) reach, roots included."""
     edges = stage(edges.select("src", "dst").distinct(), "edges")
@@ -73,30 +102,29 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return fixed_point(ZSet.of(start), lambda z: ZSet.of(turn(_cut(turn(_cut(z.df.select("src", "dst"))))))).df.select("src", "dst")
 
 
-def coloring(edges: DataFrame, max_iterations: int = 1000) -> DataFrame:
-    """(node, color): each node, in order of its number, has the least color that no smaller neighbour has."""
+def coloring(edges: DataFrame) -> DataFrame:
+    """(node, color): each node, in order of its number, has the least color that no smaller neighbour has. A round colors all nodes whose smaller neighbours have colors."""
     pairs = stage(edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     colors = stage(nodes.withColumn("color", F.lit(None).cast("int")), "colors")
-    for _ in range(max_iterations):
+    while True:
         below = pairs.join(colors.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.collect_set("color").alias("used"), F.count_if(F.col("color").isNull()).alias("unset"))
         told = colors.join(below, "node", "left")
         color = F.when(F.col("color").isNotNull(), F.col("color")).when(F.coalesce("unset", F.lit(0)) == 0, mex(F.coalesce("used", F.array().cast("array<int>"))))
         colors = stage(told.select("node", color.alias("color")), "colors")
         if colors.filter("color IS NULL").isEmpty():
             return colors
-    raise RuntimeError(f"no coloring in {max_iterations} iterations")
 
 
 def pagerank(edges: DataFrame, iterations: int = 10, reset: float = 0.15) -> DataFrame:
     """(node, value): ranks that start at `reset` for nodes with edges going out, sent on in iterations + 1 steps and summed; not normalised."""
-    edges = stage(edges.select("src", "dst"), "edges")
-    degrees = stage(graph.count_nodes(edges.select(F.col("src").alias("node"))).withColumnRenamed("value", "state"), "degrees")
-    start = degrees.select("node", F.lit(reset).alias("value"))
+    edges = edges.select("src", "dst")
+    degrees = graph.count_nodes(edges.select(F.col("src").alias("node"))).withColumnRenamed("value", "state")
+    edges = stage(edges.join(degrees.withColumnRenamed("node", "src"), "src"), "edges")  # with the source's degree: one join a step
+    start = stage(degrees.select("node", F.lit(reset).alias("value")), "start")
 
     def step(ranks: DataFrame) -> DataFrame:
-        share = F.when(F.col("state") > 0, F.col("value") * (1 - reset) / F.col("state")).otherwise(0.0)
-        return graph.graph_reduce(graph.node_join(ranks, degrees, share, F.lit(0)), edges).filter("value > 0")
+        return graph.graph_reduce(ranks, edges, value=F.col("value") * (1 - reset) / F.col("state")).filter("value > 0")
 
     return graph.node_aggregate(iterate_and_accumulate(start, step, iterations).unionByName(start)).filter("value > 0")
 

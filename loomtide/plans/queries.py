@@ -14,8 +14,8 @@ from . import programs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Node numbers of regions, nations, customers and suppliers in one graph.
-REGION, NATION, CUSTOMER, SUPPLIER = 0, 1_000, 1_000_000_000, 2_000_000_000
+#: Node numbers of regions, nations, customers, suppliers and parts in one graph.
+REGION, NATION, CUSTOMER, SUPPLIER, PART = 0, 1_000, 1_000_000_000, 2_000_000_000, 3_000_000_000
 PLACES = f"""
 places AS (SELECT {REGION} + n_regionkey AS src, {NATION} + n_nationkey AS dst FROM nation
   UNION ALL SELECT {NATION} + c_nationkey, {CUSTOMER} + c_custkey FROM customer
@@ -119,11 +119,30 @@ def unary_expression(s, sf):
     def spread(parts):
         import pandas as pd
 
-        rows = pd.concat(list(parts) or [pd.DataFrame({"event_type": [], "value": []})]).groupby("event_type")["value"].agg(["min", "max"])
-        yield pd.DataFrame({"event_type": rows.index, "spread": (rows["max"] - rows["min"]).to_numpy()})
+        low, high = {}, {}
+        for rows in parts:  # of all keys of the partition
+            got = rows.groupby("event_type")["value"].agg(["min", "max"])
+            for k, a, b in got.itertuples():
+                low[k], high[k] = min(a, low.get(k, a)), max(b, high.get(k, b))
+        yield pd.DataFrame({"event_type": list(low), "spread": [high[k] - low[k] for k in low]})
 
-    ends = t(s, sf, "events").groupBy("event_type").agg(F.min("value").alias("a"), F.max("value").alias("b")).select("event_type", F.explode(F.array("a", "b")).alias("value"))
-    return epochs.per_partition(ends, ["event_type"], spread, "event_type string, spread double")
+    return epochs.per_partition(t(s, sf, "events").select("event_type", "value"), ["event_type"], spread, "event_type string, spread double")
+
+
+@query("SELECT coalesce(o_custkey, c_custkey) AS cust, c_custkey IS NOT NULL AS known, coalesce(n, 0)::BIGINT AS n FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def binary_expression(s, sf):
+    def both(parts):
+        import pandas as pd
+
+        known, n = set(), {}
+        for rows in parts:
+            known.update(rows.loc[rows["#side"] == 0, "c_custkey"].astype("int64"))
+            for k, v in rows.loc[rows["#side"] == 1, "o_custkey"].astype("int64").value_counts().items():
+                n[k] = n.get(k, 0) + v
+        every = sorted(known | set(n))
+        yield pd.DataFrame({"cust": every, "known": [k in known for k in every], "n": [n.get(k, 0) for k in every]})
+
+    return epochs.binary_expression(t(s, sf, "customer").select("c_custkey"), t(s, sf, "orders").select("o_custkey"), ["c_custkey"], ["o_custkey"], both, "cust long, known boolean, n long")
 
 
 # Joins.
@@ -473,7 +492,13 @@ def strongly_connected(s, sf):
     return programs.strongly_connected(trade(s, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade),
+nodes AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM (SELECT a AS x FROM e UNION SELECT b FROM e)),
+near AS (SELECT n.i, n.x, list(m.i) FILTER (m.i IS NOT NULL) AS below FROM nodes n LEFT JOIN e ON e.b = n.x LEFT JOIN nodes m ON m.x = e.a GROUP BY 1, 2),
+step(i, node, colors) AS (SELECT 0::BIGINT, NULL::BIGINT, []::INTEGER[] UNION ALL
+  SELECT near.i, near.x::BIGINT, list_append(colors, list_min(list_filter(range(0, 100), lambda c: NOT list_contains(list_transform(coalesce(below, []), lambda j: colors[j]), c)))::INTEGER)
+  FROM step JOIN near ON near.i = step.i + 1)
+SELECT node, colors[i] AS color FROM step WHERE i > 0""")
 def graph_coloring(s, sf):
     return programs.coloring(trade(s, sf))
 
@@ -509,26 +534,129 @@ def general_fixed_point(s, sf):
     return loops.general_fixed_point(start, lambda z: z.concat(z.select(F.least(F.col("value") + F.col("value") % 7 + 1, F.lit(50)).alias("value"))).concat(z.select(F.least(F.col("value") + 1, F.lit(50)).alias("value"))).distinct(), F.floor(F.col("value") / 25)).df.select("value")
 
 
+# Graphs whose size grows with the tables: suppliers to parts, parts to customers, customers to suppliers, as items were sold.
+MARKET = f"""
+sales AS (SELECT {SUPPLIER} + l_suppkey AS s, {PART} + l_partkey AS p, {CUSTOMER} + o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+market AS (SELECT s::BIGINT AS src, p::BIGINT AS dst FROM sales UNION SELECT p, c FROM sales UNION SELECT c, s FROM sales)"""
+
+
+def market(s: SparkSession, sf: str) -> DataFrame:
+    li, o = t(s, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey"), t(s, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    node = lambda base, c: (F.lit(base) + F.col(c)).cast("long")
+    ends = {"s": node(SUPPLIER, "l_suppkey"), "p": node(PART, "l_partkey"), "c": node(CUSTOMER, "o_custkey")}
+    pairs = F.array(*(F.struct(ends[a].alias("src"), ends[b].alias("dst")) for a, b in ("sp", "pc", "cs")))
+    return li.join(o, "l_orderkey").select(F.explode(pairs).alias("e")).select("e.src", "e.dst").distinct()
+
+
+@query(f"""WITH RECURSIVE {MARKET}, deg AS (SELECT src, count(*) AS d FROM market GROUP BY 1),
+step(i, node, value) AS (SELECT 0, src, 0.15::DOUBLE FROM deg UNION ALL
+  SELECT * FROM (SELECT i + 1, dst, sum(value * 0.85 / d) FROM step JOIN deg ON deg.src = node JOIN market ON market.src = node WHERE i < 11 GROUP BY 1, 2))
+SELECT node, round(sum(value), 6) AS value FROM step GROUP BY 1""")
+def pagerank_market(s, sf):
+    return programs.pagerank(market(s, sf)).select("node", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {MARKET}, undirected AS (SELECT src, dst FROM market UNION SELECT dst, src FROM market UNION SELECT src, src FROM market UNION SELECT dst, dst FROM market),
+step(i, node, value) AS (SELECT 0, src, src FROM undirected WHERE src = dst UNION ALL SELECT * FROM (SELECT i + 1, dst, min(value) FROM step JOIN undirected ON src = node WHERE i < 16 GROUP BY 1, 2))
+SELECT node, value AS component FROM step WHERE i = 16""")
+def components_market(s, sf):
+    """The SQL follows paths of 16 edges, which reach all there is in these tables."""
+    return programs.connected_components(market(s, sf))
+
+
+@query(f"WITH {MARKET} SELECT src, dst FROM market WHERE src IN (SELECT dst FROM market) AND dst IN (SELECT src FROM market)")
+def strongly_connected_market(s, sf):
+    """Every sale is a cycle of supplier, part and customer, so that all edges lie within strong components."""
+    return programs.strongly_connected(market(s, sf))
+
+
+REWIRED = f"""WITH RECURSIVE {PLACES}, moved AS (SELECT src, dst FROM places WHERE dst >= {CUSTOMER} AND dst < {SUPPLIER} AND dst % 10 = 0),
+after AS (SELECT src, dst FROM places EXCEPT SELECT src, dst FROM moved UNION ALL SELECT DISTINCT dst, dst + 7 FROM moved),
+nodes AS (SELECT src AS x FROM places UNION SELECT dst FROM places UNION SELECT dst + 7 FROM moved),
+old_edges AS (SELECT src, dst FROM places UNION SELECT dst, src FROM places), new_edges AS (SELECT src, dst FROM after UNION SELECT dst, src FROM after),
+old_step(i, node, value) AS (SELECT 0, x, x FROM nodes WHERE x IN (SELECT src FROM old_edges) UNION ALL SELECT * FROM (SELECT i + 1, dst, min(value) FROM (SELECT i, node, value, dst FROM old_step JOIN old_edges ON src = node UNION ALL SELECT i, node, value, node FROM old_step) WHERE i < 12 GROUP BY 1, 2)),
+new_step(i, node, value) AS (SELECT 0, x, x FROM nodes UNION ALL SELECT * FROM (SELECT i + 1, dst, min(value) FROM (SELECT i, node, value, dst FROM new_step JOIN new_edges ON src = node UNION ALL SELECT i, node, value, node FROM new_step) WHERE i < 12 GROUP BY 1, 2)),
+c AS (SELECT node, value, 1 AS w FROM new_step WHERE i = 12 UNION ALL SELECT node, value, -1 FROM old_step WHERE i = 12)
+SELECT node, value AS component, sum(w)::BIGINT AS weight FROM c GROUP BY 1, 2 HAVING sum(w) <> 0"""
+
+
+@query(REWIRED)
+def components_rewired(s, sf):
+    """What changes in the components of places when every tenth customer leaves its nation and is linked with the customer 7 numbers on."""
+    e = stage(places(s, sf), "edges")
+    gone = stage(e.filter((F.col("dst") >= CUSTOMER) & (F.col("dst") < SUPPLIER) & (F.col("dst") % 10 == 0)), "removed")
+    new = gone.select(F.col("dst").alias("src"), (F.col("dst") + 7).alias("dst")).distinct()
+    before = stage(programs.connected_components(e), "components")
+    after = programs.components_again(before, e, new, gone)
+    return incremental.output_delta(ZSet.of(before), ZSet.of(after)).df
+
+
+@query("WITH RECURSIVE e AS (SELECT r_name AS src, n_name AS dst FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT n_name, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey), reach(x) AS (SELECT 'ASIA' UNION SELECT dst FROM reach JOIN e ON src = x) SELECT x AS name FROM reach")
+def named_reachability(s, sf):
+    n, r, c = t(s, sf, "nation"), t(s, sf, "region"), t(s, sf, "customer")
+    e = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    e = e.union(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_name"))
+    return programs.named_reach(e, s.createDataFrame([("ASIA",)], "name string"))
+
+
 # Learning.
 def dimensions(rows: DataFrame) -> int:
     return rows.agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
-@query()
+def _k_means_sql(steps: int) -> str:
+    means = "m0 AS (SELECT c, 0::BIGINT AS n, list_transform(range(0, (SELECT max(len(embedding)) FROM embeddings)), lambda j: (2 * c - 1)::DOUBLE) AS m FROM (SELECT unnest([0, 1]) AS c))"
+    for i in range(1, steps + 1):
+        means += f""", a{i} AS (SELECT arg_min(c, (d, c)) AS c, any_value(x) AS x FROM (SELECT vec_id, x, c, list_distance(x, m) AS d FROM v, m{i - 1}) GROUP BY vec_id),
+u{i} AS (SELECT c, count(*) // any_value(len(x)) AS n, 0 AS z FROM (SELECT c, x, unnest(x) FROM a{i}) GROUP BY c),
+s{i} AS (SELECT c, list(q ORDER BY j) AS m FROM (SELECT c, j, avg(q) AS q FROM (SELECT c, unnest(x) AS q, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c),
+m{i} AS (SELECT p.c, coalesce(u.n, 0)::BIGINT AS n, coalesce(s.m, p.m) AS m FROM m{i - 1} p LEFT JOIN s{i} s ON s.c = p.c LEFT JOIN u{i} u ON u.c = p.c)"""
+    return f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), {means} SELECT c AS cluster, n, j - 1 AS j, round(q, 6) AS mean FROM (SELECT c, n, unnest(m) AS q, generate_subscripts(m, 1) AS j FROM m{steps})"
+
+
+@query(_k_means_sql(5))
 def k_means(s, sf):
     rows = t(s, sf, "embeddings")
     d = dimensions(rows)
-    return programs.k_means(rows.select(F.col("embedding").alias("x")), [[-1.0] * d, [1.0] * d], 5)
+    got = programs.k_means(rows.select(F.col("embedding").alias("x")), [[-1.0] * d, [1.0] * d], 5)
+    return got.select("cluster", "n", F.posexplode("mean").alias("j", "mean")).withColumn("mean", F.round("mean", 6))
+
 
+def _regression_sql(steps: int, rate: float) -> str:
+    out = "w0 AS (SELECT list_transform(range(0, (SELECT max(len(embedding)) FROM embeddings)), lambda j: 0.0::DOUBLE) AS w)"
+    for i in range(1, steps + 1):
+        out += f""", p{i} AS (SELECT x, y / (1 + exp(y * list_dot_product(x, w))) AS p FROM v, w{i - 1}),
+w{i} AS (SELECT list(o.q + {rate} * g.q ORDER BY g.j) AS w FROM (SELECT j, sum(p * q) AS q FROM (SELECT p, unnest(x) AS q, generate_subscripts(x, 1) AS j FROM p{i}) GROUP BY j) g
+  JOIN (SELECT unnest(w) AS q, generate_subscripts(w, 1) AS j FROM w{i - 1}) o ON o.j = g.j)"""
+    return f"WITH v AS (SELECT embedding::DOUBLE[] AS x, CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END AS y FROM embeddings), {out} SELECT (j - 1)::INTEGER AS j, round(q, 6) AS weight FROM (SELECT unnest(w) AS q, generate_subscripts(w, 1) AS j FROM w{steps})"
 
-@query()
+
+@query(_regression_sql(5, 0.01))
 def logistic_regression(s, sf):
     rows = t(s, sf, "embeddings")
     samples = rows.select(F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"), F.col("embedding").alias("x"))
-    return programs.logistic_regression(samples, dimensions(rows), 5, 0.01)
+    return programs.logistic_regression(samples, dimensions(rows), 5, 0.01).withColumn("weight", F.round("weight", 6))
 
 
 # Partitioning.
-@query("SELECT c_nationkey, 0::BIGINT AS partitions FROM customer WHERE false")
+@query("""SELECT 'dealt' AS how, c_nationkey, 1::BIGINT AS partitions FROM customer GROUP BY 2 UNION ALL
+SELECT 'not', c_nationkey, least(count(*), 4)::BIGINT FROM customer GROUP BY 2""")
+def partitions_of_keys(s, sf):
+    """In how many partitions the rows of a key lie: one after partition_by; else, dealt to 4 in turn within each key, in as many as can be."""
+    from pyspark.sql import Window
+
+    rows = t(s, sf, "customer").select("c_nationkey", "c_custkey")
+    dealt = partitioning.partition_by(rows, "c_nationkey", n=4)
+    turn = rows.withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).repartitionById(4, F.pmod("i", F.lit(4)).cast("int"))
+    count = lambda df, how: df.withColumn("#p", F.spark_partition_id()).groupBy("c_nationkey").agg(F.count_distinct("#p").alias("partitions")).select(F.lit(how).alias("how"), "c_nationkey", "partitions")
+    return count(dealt, "dealt").union(count(turn, "not"))
+
+
+@query("SELECT c_nationkey, least(count(*), 4)::BIGINT AS partitions FROM customer GROUP BY 1 HAVING count(*) > 1")
 def partition_violations(s, sf):
-    return partitioning.violations(partitioning.partition_by(t(s, sf, "customer"), "c_nationkey"), "c_nationkey")
+    from pyspark.sql import Window
+
+    rows = t(s, sf, "customer").select("c_nationkey", "c_custkey")
+    turn = rows.withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).repartitionById(4, F.pmod("i", F.lit(4)).cast("int"))
+    bad = partitioning.violations(partitioning.partition_by(turn, "c_nationkey"), "c_nationkey")  # none
+    return partitioning.violations(turn, "c_nationkey").unionByName(bad)

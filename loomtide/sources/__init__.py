@@ -31,19 +31,28 @@ def read_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_text(spark, path).filter(~F.col("line").startswith("#") & (F.trim("line") != "")).select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"))
 
 
-def read_binary(spark: SparkSession, path: str, decode: Callable[[bytes], Iterable[tuple]], schema: str, glob: str | None = None) -> DataFrame:
-    """Records that decode() finds in each file."""
+def decoded(files: DataFrame, decode: Callable[[bytes], Iterable[tuple]], schema: str, most: int = 10_000) -> DataFrame:
+    """Records that decode() finds in each `content`, in batches of at most `most`."""
 
     def run(parts):
+        from itertools import islice
+
         import pandas as pd
 
         names = [c.split()[0] for c in schema.split(",")]
         for part in parts:
             for content in part["content"]:
-                yield pd.DataFrame(list(decode(bytes(content))), columns=names)
+                rows = iter(decode(bytes(content)))
+                while some := list(islice(rows, most)):
+                    yield pd.DataFrame(some, columns=names)
+
+    return files.select("content").mapInPandas(run, schema)
+
 
+def read_binary(spark: SparkSession, path: str, decode: Callable[[bytes], Iterable[tuple]], schema: str, glob: str | None = None) -> DataFrame:
+    """Records that decode() finds in each file."""
     reader = spark.read.format("binaryFile")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("content").mapInPandas(run, schema)
+    return decoded((reader.option("pathGlobFilter", glob) if glob else reader).load(path), decode, schema)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -69,5 +78,11 @@ def write_by_epoch(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").format(kind).save(path)
 
 
+def write_by_worker(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A folder for each epoch and, in it, each task that has rows of it."""
+    write = df.withColumn("worker", F.spark_partition_id()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    write.partitionBy("epoch", "worker").format(kind).save(path)
+
+
 def write_table(df: DataFrame, options: dict) -> None:
     df.write.format("jdbc").options(**options).mode("append").save()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import output_delta
-from ..operators.staging import stage
+from ..operators.incremental import keyed_delta, output_delta
+from ..operators.staging import shared_dir
 from ..operators.zset import ZSet
+from .inputs import Input, StreamingInput, Subscription, collected  # noqa: F401
+from .stateful import blocking_aggregate, distinct, lookups, state_machine, streaming_aggregate  # noqa: F401
 
 
 def epochs_of_files(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_per_epoch: int = 1) -> DataFrame:
@@ -48,36 +51,44 @@ def windowed_counts(stream: DataFrame, ts: str, length: str, late: str, keys: li
     return stream.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def changes(stream: DataFrame, operator: Callable[[ZSet], ZSet], emit: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+def _stored(spark: SparkSession, folder: str, kind: str) -> dict[int, str]:
+    """Complete tables of a kind by epoch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = [f.getPath().getParent() for f in found or []]
+    return {int(n.getName().rsplit("-", 1)[1]): n.toString() for n in names}
+
+
+def changes(stream: DataFrame, operator: Callable[[ZSet], ZSet], emit: Callable[[DataFrame, int], None], checkpoint: str | None = None, keys: list[str] | None = None, fold: int = 16) -> StreamingQuery:
     """emit(insertions and retractions of the operator's result, epoch), for a stream of records or of weighted records.
 
-    The input so far and the result are staged tables; a changed result is the difference of the two results.
+    keys: of an operator that works key by key; then only the input's keys that the epoch touches are computed, before and after. Else
+    the result of each epoch is stored, and the next one computed anew and compared. The input's changes are stored by epoch and folded
+    into one table every `fold` epochs. All lies under the checkpoint: after a restart the state is read from there, and an epoch that
+    is told again writes the same tables and emits the same changes. Without a checkpoint nothing outlives the query.
     """
-    held: dict[str, ZSet] = {}
+    spark, schema = stream.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema if f.name != "weight") + ", weight long"
+    folder = f"{checkpoint.rstrip('/')}/loomtide" if checkpoint else f"{shared_dir(spark)}/loomtide/changes-{uuid.uuid4().hex}"
+
+    def read(paths: list[str], schema) -> ZSet:
+        return ZSet(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
 
     def each(rows: DataFrame, epoch: int) -> None:
-        new = ZSet(rows) if "weight" in rows.columns else ZSet.of(rows)
-        all_rows = ZSet(stage((held["in"].concat(new) if held else new).consolidate().df, "input"))
-        result = ZSet(stage(operator(all_rows).consolidate().df, "result"))
-        emit((output_delta(held["out"], result) if held else result).df, epoch)
-        held.update({"in": all_rows, "out": result})
+        folded, parts = ({e: p for e, p in _stored(spark, folder, kind).items() if e < epoch} for kind in ("input", "change"))
+        base = max(folded, default=-1)
+        before = read([folded[base] for _ in range(base >= 0)] + [p for e, p in sorted(parts.items()) if e > base], schema)
+        change = (ZSet(rows) if "weight" in rows.columns else ZSet.of(rows)).consolidate()
+        change.df.write.mode("overwrite").parquet(f"{folder}/change-{epoch}")
+        change = read([f"{folder}/change-{epoch}"], schema)
+        if keys:
+            emit(keyed_delta(before, change, keys, operator).df, epoch)
+        else:
+            result = operator(before.concat(change)).consolidate()
+            result.df.write.mode("overwrite").parquet(f"{folder}/result-{epoch}")
+            results = {e: p for e, p in _stored(spark, folder, "result").items() if e < epoch}
+            old = read([results[max(results)]] if results else [], result.df.schema)
+            emit(output_delta(old, read([f"{folder}/result-{epoch}"], result.df.schema)).df, epoch)
+        if epoch - base >= fold:
+            before.concat(change).consolidate().df.write.mode("overwrite").parquet(f"{folder}/input-{epoch}")
 
     return subscribe(stream, each, checkpoint)
-
-
-def lookups(puts_and_gets: DataFrame, key: str, value: str, is_get: Column) -> DataFrame:
-    """(key, value): the last value put for each request so far, key by key in a state store. Within an epoch, puts come before requests."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(k, batches, state):
-        rows = pd.concat(list(batches))
-        puts = rows[~rows["is_get"]][value]
-        if len(puts):
-            state.update((str(puts.max()),))
-        n = int(rows["is_get"].sum())
-        if n and state.exists:
-            yield pd.DataFrame({key: [k[0]] * n, value: [state.get[0]] * n})
-
-    rows = puts_and_gets.select(F.col(key).cast("string").alias(key), F.col(value).cast("string").alias(value), is_get.alias("is_get"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, {value} string", f"{value} string", "append", GroupStateTimeout.NoTimeout)
