@@ -6,13 +6,15 @@ not what its merges give; there, the same pass keeps at each position the one pi
 is, whose pair the merges leave as it is. By induction the kept pieces are the merges' result for every prefix. Characters without a
 piece are a piece of their own and become their UTF-8 bytes, if the model has byte pieces, or <unk>.
 
-A piece never crosses the start of a run of spaces, so texts are encoded in units of a run of spaces and what follows it, memoised with a bound.
+A piece never crosses the start of a run of spaces, so texts are encoded in units of a run of spaces and what follows it. Arrow finds the
+distinct units of about a megabyte of text; those that came before are in a memo of a worker, bounded in bytes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import tidy
+from .sets import texts
+from .tokens import Memo, binary, pick
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -28,15 +32,17 @@ UNKNOWN_PENALTY = 10.0
 
 
 class Pieces:
-    def __init__(self, path: str, capacity: int = 600_000):
+    """capacity: units, and a quarter of the pairs of pieces, that are remembered one by one; most: bytes of the memo of units."""
+
+    def __init__(self, path: str, capacity: int = 150_000, most: int = 64_000_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        self._load(model, capacity)
+        self._load(model, capacity, most)
 
-    def _load(self, model, capacity: int) -> None:
+    def _load(self, model, capacity: int, most: int = 64_000_000) -> None:
         import ahocorasick
 
         if model.trainer_spec.model_type not in (UNIGRAM, BPE) or model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
@@ -59,6 +65,9 @@ class Pieces:
         whole = any(SPACE in p.lstrip(SPACE) for p in usable)
         apart = "" if any("\n" in p for p in usable) else "\n"
         self.units = re.compile(r"[\s\S]+" if whole else f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+|{apart or SPACE}+")
+        self.simple, self.units_seen = not whole and apart == "\n", Memo(most)
+        self.plain_raw = np.frombuffer(b"".join(self.plain), np.uint8)
+        self.plain_at = np.concatenate([[0], np.cumsum([len(x) for x in self.plain])]).astype(np.int64)
         self.memo: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -171,35 +180,89 @@ class Pieces:
     def _word(self, word: str) -> bytes:
         return b"".join(map(self.ids_of, self.units.findall(SPACE + word)))
 
+    def _new(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.ids_of(k.decode().replace(" ", SPACE)) for k in keys.to_pylist()]
+        return np.frombuffer(b"".join(got), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int64)
+
+    def encode_rows(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the texts raw[at[i]:at[i + 1]] (UTF-8), one after the other, and the texts' offsets in them."""
+        data = raw.tobytes()
+        if not self.simple or SPACE.encode() in data:
+            got = [self.encode(data[i:j].decode()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
+        filled = np.diff(at) > 0
+        if self.prefix:
+            raw, at = np.insert(raw, at[:-1][filled], 32), at + np.concatenate([[0], np.cumsum(filled)])
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        space, line = raw == 32, raw == 10
+        first = np.ones(len(raw), bool)  # of a unit: a run of spaces and what follows it, or a run of line ends
+        first[1:] = (space[1:] & ~space[:-1]) | (line[1:] & ~line[:-1]) | (~space[1:] & ~line[1:] & line[:-1])
+        first[at[:-1][filled]] = True
+        start = np.flatnonzero(first)
+        units = binary(raw, np.append(start, len(raw))).dictionary_encode()
+        slots = self.units_seen.slots(units.dictionary, self._new)[units.indices.to_numpy()]
+        ids, id_at = pick(self.units_seen.ids, self.units_seen.id_at, slots)
+        return ids, id_at[np.searchsorted(start, at)]
+
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.plain.__getitem__, ids.tolist())).decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_rows(ids, np.array([0, len(ids)]))[0]
+
+    def decode_rows(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        raw, raw_at = pick(self.plain_raw, self.plain_at, ids.astype(np.int64))
+        data, edges = raw.tobytes(), raw_at[at].tolist()
+        texts = [data[i:j].decode(errors="replace").replace(SPACE, " ") for i, j in pairwise(edges)]
+        return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
+
+
+@cache
+def pieces_of(path: str) -> Pieces:
+    """One for a worker process: what a task has encoded serves the next."""
+    return Pieces(path)
 
 
-def _mapped(df: DataFrame, path: str, name: str, kind: str, get: str, make) -> DataFrame:
+def _schema(df: DataFrame, name: str, kind: str) -> tuple[list[str], str]:
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
     keep = [c for c in df.columns if c != name]
-    schema = StructType([df.schema[c] for c in keep] + [StructField(name, BinaryType() if kind == "binary" else StringType())])
+    return keep, StructType([df.schema[c] for c in keep] + [StructField(name, BinaryType() if kind == "binary" else StringType())])
+
+
+def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids") -> DataFrame:
+    """df with a column of piece ids as little-endian unsigned 32-bit integers; null and empty texts have none. Any length; equal rows alike.
+
+    A column `name` is replaced; all others stay. An empty table gives an empty one.
+    """
+    keep, schema = _schema(df, name, "binary")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                got = [make(pieces, x) for x in part.column("#in").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.binary() if kind == "binary" else pa.string())], [*keep, name])
+            column = b.column("#in")
+            for i, n, raw, at in texts(column.fill_null("") if column.null_count else column):
+                ids, id_at = pieces.encode_rows(raw, at)
+                got = binary(np.ascontiguousarray(ids, "<u4").view(np.uint8), 4 * id_at)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, n) for c in keep), got], [*keep, name])
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(get).alias("#in")).mapInArrow(tidy(run), schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("#in")).mapInArrow(tidy(run), schema)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """df with a column of piece ids as little-endian unsigned 32-bit integers; null and empty texts have none. Any length; equal rows alike."""
-    return _mapped(df, path, name, "binary", text_col, lambda p, x: p.encode(x).tobytes())
+def decode(df: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """df with the text of a column of ids; null is empty. A text comes back as it was, but U+2581 as a space. A column `name` is replaced."""
+    keep, schema = _schema(df, name, "string")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        pieces = pieces_of(path)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                given = [x or b"" for x in part.column("#in").to_pylist()]
+                at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in given])]).astype(np.int64)
+                got = pieces.decode_rows(np.frombuffer(b"".join(given), "<u4"), at)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.string())], [*keep, name])
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """df with the text of a column of ids; null is empty. A text comes back as it was, but U+2581 as a space."""
-    return _mapped(df, path, name, "string", ids_col, lambda p, x: p.decode(np.frombuffer(x or b"", "<u4")))
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(ids_col).alias("#in")).mapInArrow(tidy(run), schema)

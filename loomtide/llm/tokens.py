@@ -228,7 +228,8 @@ class ChunkIds:
             ids, part_at = pick(self.memo.ids, self.memo.id_at, slots)
             id_at = part_at[::2]
         else:
-            ids, id_at = pick(self.memo.ids, self.memo.id_at, self.memo.slots(chunks.dictionary, self._new))
+            slots = self.memo.slots(chunks.dictionary, self._new)
+            ids, id_at = pick(self.memo.ids, self.memo.id_at, slots)
         ids, id_at = pick(ids, id_at, chunks.indices.to_numpy())
         return ids, id_at[np.searchsorted(start, at)]
 

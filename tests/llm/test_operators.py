@@ -304,6 +304,10 @@ def test_chunks_are_exact(monkeypatch):
                         assert a.tolist() == e.ids
         else:
             assert not ChunkIds(path).merges  # another kind
+    ids_of = ChunkIds(WORDS)
+    ids_of.folds, ids_of.merges = False, None  # as of a tokenizer that keeps capitals
+    for a, e in zip(ids_of.encode_list(texts), ids_of.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert a.tolist() == e.ids
     monkeypatch.setattr(tokens, "LONG", 100)
     monkeypatch.setattr(sets, "LONG", 100)
     long = " ".join(texts * 2)
@@ -321,6 +325,14 @@ def test_sentencepieces(spark):
     texts = [t or "" for t in ODD] + ["  two  spaces ", "Hello world, this is\n\na test of the_thing 😀", " ".join(words(random.Random(1), 90)), "internationalisation unbelievable " * 4]
     for t in texts:
         assert mine.encode(t).tolist() == lib.encode(t) and mine.decode(mine.encode(t)) == t
+    r = random.Random(9)
+    odd = ["".join(r.choice("ab é\n\n  日▁.\t\x0b" if k % 3 else "ab é\n  日.") for _ in range(r.randint(0, 50))) for k in range(400)]
+    for most in (64_000_000, 2_000):  # the memo is emptied again and again
+        mine = sentencepieces.Pieces(PIECES, 40, most)
+        for i in range(0, len(odd), 50):
+            raw = [t.encode() for t in texts + odd[i : i + 50]]
+            ids, at = mine.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [lib.encode(t) for t in texts + odd[i : i + 50]]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts + [None])], "doc_id int, text string, ids int")
     for r in sentencepieces.decode(sentencepieces.encode(df, PIECES), PIECES).collect():
         assert r.decoded == (r.text or "")
