@@ -16,11 +16,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 def small(df: DataFrame, rows: int, lists: str | None = None) -> tuple[bool, DataFrame]:
     """Whether df has at most `rows` rows of fixed size, and df with a broadcast hint if so. df should be a staged table.
 
-    lists: a column of lists, which may have four items for each of `rows` in all.
+    lists: a column of lists; then a quarter of `rows` may be broadcast, with `rows` items in all, so that bytes are bounded alike.
     """
-    fits = df.limit(rows + 1).count() <= rows
+    most = rows // 4 if lists else rows
+    fits = df.limit(most + 1).count() <= most
     if fits and lists:
-        fits = (df.agg(F.sum(F.size(lists))).first()[0] or 0) <= 4 * rows
+        fits = (df.agg(F.sum(F.size(lists))).first()[0] or 0) <= rows
     return fits, F.broadcast(df) if fits else df
 
 
