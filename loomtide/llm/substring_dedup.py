@@ -2,7 +2,8 @@
 
 Seeds are k-word windows chosen by winnowing: of every `window` neighbouring ones the least hash, so any two texts that share
 k + window - 1 words in a row share a seed in them. A seed's occurrences are joined with its first one (smallest doc_id and position),
-not with each other: rows grow with the occurrences, whatever a seed's frequency. For each pair of documents the matched seeds are
+not with each other: rows grow with the occurrences, whatever a seed's frequency. The first occurrence of a seed that very many documents
+have is found by partial minima and brought to the others, where they lie; rarer seeds are dealt by themselves. For each pair of documents the matched seeds are
 chained: a chain goes forward in both texts, each seed scores k and each word of a gap costs; the best predecessor comes from
 a Fenwick tree of prefix maxima over positions in the first text. Chains that may be part of a passage are aligned word by word, the
 words being cut out of the first text, and those of the other one at hand. The matched words of all chains of a document are laid over each other, so a passage is
@@ -27,6 +28,8 @@ K, WINDOW, GAP_COST, MARGIN = 5, 8, 0.1, 16
 OFF, CELLS = 32, 4_000_000
 #: Chains with one cut from which on it is dealt to several tasks, and to how many.
 HOT, SALTS = 1_000, 16
+#: Documents with one seed beyond which its occurrences stay where they are.
+HOT_SEED = 10_000
 #: Of the alignment beyond a chain's ends.
 BAND, EDIT, DROP = 8, 0.5, 4
 
@@ -81,8 +84,12 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), "seed long, doc_id long, pos array<int>")
 
 
-def matches(seed_rows: DataFrame) -> DataFrame:
-    """(b, a, pos_b, pos_a): each occurrence of a seed in a document b after its first document a, with the first occurrence."""
+def matches(seed_rows: DataFrame, broadcast_rows: int = 1_000_000, hot_seed: int = HOT_SEED) -> DataFrame:
+    """(b, a, pos_b, pos_a): each occurrence of a seed in a document b after its first document a, with the first occurrence. seed_rows: staged.
+
+    The occurrences of a seed that over hot_seed documents have never meet in one task: they are joined with its first one, which is
+    the least of their partial minima. There are hot_seed times fewer such seeds than rows; beyond broadcast_rows they are dealt to SALTS tasks each.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -104,7 +111,19 @@ def matches(seed_rows: DataFrame) -> DataFrame:
             told = {c: np.repeat(v, n)[other] for c, v in told.items()} | {"pos_b": all_pos[other]}
             yield from rows_of({c: told[c] for c in types}, types)
 
-    return seed_rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(tidy(run), "b long, a long, pos_b int, pos_a int")
+    about = seed_rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("pos")[0].alias("pos"))).alias("first"))
+    hot = stage(about.filter(F.col("n") > hot_seed).select("seed", F.col("first.doc_id").alias("a"), F.col("first.pos").alias("pos_a")), "hot_seeds")
+    if hot.isEmpty():
+        rare, often = seed_rows, None
+    else:
+        on, fits, rows = ["seed"], *small(hot, broadcast_rows)
+        if not fits:
+            on, hot = ["seed", "salt"], hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            seed_rows, rows = seed_rows.withColumn("salt", salt("doc_id", SALTS)), hot
+        rare = seed_rows.join(rows, on, "left_anti").select("seed", "doc_id", "pos")
+        often = seed_rows.join(rows, on).filter("doc_id <> a").select(F.col("doc_id").alias("b"), "a", F.explode("pos").alias("pos_b"), "pos_a")
+    met = rare.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(tidy(run), "b long, a long, pos_b int, pos_a int")
+    return met if often is None else met.unionByName(often)
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int = K, cost: float = GAP_COST) -> list[np.ndarray]:
@@ -441,7 +460,7 @@ def covered(chain_rows: DataFrame, crops: DataFrame, min_words: int, share: floa
     return both.mapInArrow(tidy(run), "doc_id long, start_word long, n_words long, matched_words long, source_doc_id long")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8, gap: int = 8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", unique: bool = False, hot_seed: int = HOT_SEED) -> DataFrame:
     """doc_id, start_word, n_words, matched_words, source_doc_id: the passages of documents that earlier documents (by doc_id) hold too.
 
     Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case; positions count them. Beyond its outer seeds a passage is followed over edits, as far
@@ -455,7 +474,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, share: float = 0.8,
     text = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).alias("text"))
     text, renumbered = (text.withColumn("doc_id", F.col("given")), False) if unique else row_ids(text, "given", "doc_id", broadcast_rows)
     given, text = text.select("doc_id", "given"), text.select("doc_id", "text")
-    found = stage(chains(matches(seeds(text)), min_words), "chains")
+    found = stage(chains(matches(stage(seeds(text), "seeds"), broadcast_rows, hot_seed), min_words), "chains")
     none = F.lit(None).cast("long")
     wanted = found.select(F.col("a").alias("doc_id"), F.col("low_a").alias("low"), F.col("high_a").alias("high")).distinct().union(found.select("b", F.lit(0).cast("long"), none).distinct())
     wanted = stage(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("places")), "wanted")  # as many as a text has stretches

@@ -149,6 +149,13 @@ def test_substring_dedup(corpus):
     assert not set(found) & {0, *range(81, 120)}  # first of all, and texts of chance
 
 
+def test_substring_dedup_of_hot_seeds(corpus):
+    _, df = corpus
+    of = lambda **more: Counter(map(tuple, substring_dedup.repeated_passages(df.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]), **more).collect()))
+    rare = of()
+    assert rare and of(hot_seed=1) == of(hot_seed=4, broadcast_rows=0) == rare
+
+
 def test_substring_dedup_of_repeated_ids(spark):
     r = random.Random(12)
     a, b, c = (words(r, 80, 5000) for _ in range(3))
