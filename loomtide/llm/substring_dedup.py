@@ -111,11 +111,13 @@ def matches(seed_rows: DataFrame, broadcast_rows: int = 1_000_000, hot_seed: int
             told = {c: np.repeat(v, n)[other] for c, v in told.items()} | {"pos_b": all_pos[other]}
             yield from rows_of({c: told[c] for c in types}, types)
 
-    about = seed_rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("pos")[0].alias("pos"))).alias("first"))
-    hot = stage(about.filter(F.col("n") > hot_seed).select("seed", F.col("first.doc_id").alias("a"), F.col("first.pos").alias("pos_a")), "hot_seeds")
+    about = seed_rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    hot = stage(about.filter(F.col("n") > hot_seed).select("seed", "doc_id"), "hot_seeds")
     if hot.isEmpty():
         rare, often = seed_rows, None
     else:
+        first = seed_rows.join(small(hot, broadcast_rows)[1], ["seed", "doc_id"]).select("seed", F.col("doc_id").alias("a"), F.col("pos")[0].alias("pos_a"))
+        hot = stage(first, "hot_firsts")
         on, fits, rows = ["seed"], *small(hot, broadcast_rows)
         if not fits:
             on, hot = ["seed", "salt"], hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
