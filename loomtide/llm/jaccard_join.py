@@ -343,8 +343,19 @@ def open_members(members: DataFrame, verdict: DataFrame) -> DataFrame:
     return state.join(groups, "sig").filter("NOT linked OR close > 0").select("sig", "rep")
 
 
+def blocks(over: DataFrame, split_over: int) -> DataFrame:
+    """(sig, rep, component): groups of about split_over members, two blocks of a larger group (sig, rep, component, n) each, so that any two of its members meet."""
+    n = F.ceil(F.lit(2) * F.col("n") / split_over)
+    dealt = over.withColumn("own", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    dealt = dealt.filter("own <> other")
+    return dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("sig"), "rep", "component")
+
+
 def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: int, broadcast_rows: int) -> DataFrame:
-    """left (sig, rep, component, n: members of the group), groups over split_over dealt by the signatures of other hashes, up to SPLITS times."""
+    """left (sig, rep, component, n: members of the group), groups over split_over dealt by the signatures of other hashes, up to SPLITS times.
+
+    What is larger even then is compared block by block: no task holds more than about split_over members at once.
+    """
     for seed in range(1, SPLITS + 1):
         over = left.filter(F.col("n") > split_over)
         if over.isEmpty():
@@ -352,6 +363,9 @@ def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: in
         again = signed(only(text, stage(over.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), broadcast_rows), k, percent, seed).withColumnRenamed("sig", "sig2")
         parts = stage(over.join(again, "rep").select(F.xxhash64("sig", "sig2").alias("sig"), "rep", "component"), "parts")
         left = stage(unlike(parts).unionByName(left.filter(F.col("n") <= split_over)), "open")
+    over = left.filter(F.col("n") > split_over)
+    if not over.isEmpty():
+        left = stage(unlike(blocks(over, split_over)).unionByName(left.filter(F.col("n") <= split_over)), "open")
     return left
 
 

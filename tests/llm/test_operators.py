@@ -78,6 +78,19 @@ def test_jaccard_join_in_split_groups(corpus):
     assert Counter(map(tuple, jaccard_join.near_duplicates(df.withColumnRenamed("lang", "component_id"), split_over=2, broadcast_rows=0).collect())) == components(rows)
 
 
+def test_jaccard_join_by_blocks(corpus, spark, monkeypatch):
+    rows, df = corpus
+    monkeypatch.setattr(jaccard_join, "SPLITS", 0)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(df, split_over=2).collect())) == components(rows)
+    over = spark.createDataFrame([(sig, 100 * sig + i, i, n) for sig, n in ((1, 50), (2, 11)) for i in range(n)], "sig long, rep long, component long, n long")
+    groups = defaultdict(set)
+    for x in jaccard_join.blocks(over, 10).collect():
+        groups[x.sig].add(x.rep)
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert met == {(100 * s + a, 100 * s + b) for s, n in ((1, 50), (2, 11)) for b in range(n) for a in range(b)}
+    assert max(map(len, groups.values())) < 25
+
+
 def test_jaccard_join_of_repeated_ids(spark):
     r = random.Random(8)
     a, b = words(r, 60), words(r, 60)
