@@ -17,7 +17,9 @@ by pair: members that are linked to the leader need no comparison with each othe
 threshold's distance) can be linked with none of those, since the Jaccard distance is a metric. The few members that this leaves open are
 compared where they lie, block by block, by odd sketches, which bound the distance from below; pairs of different components that
 may be linked come out, first each member with the one that seems nearest, and, once that joins no further components, all that are
-left. Open groups over `split_over` members are split before by the signatures of independent hashes, which partners share as well.
+left. Open groups over `split_over` members, most of them of one component, are cut: each part has some of its members and all the others.
+The members of groups with more others are signed anew with independent hashes, each once: partners share one of these signatures as well.
+Open members are compared in turns, so that few copies of a sketch are on disk.
 Candidates are then held against each other's whole sets. So all links between different sets are found or implied.
 """
 
@@ -54,6 +56,8 @@ def _bands(percent: int, power: int) -> tuple[np.ndarray, list[tuple[int, int]]]
 
 
 N2, SKIP, ROUNDS, NEAREST_ROUNDS, SPLITS = 2, 1, 8, 3, 3
+#: Copies of sketches, for each of all sets, that are dealt at once.
+DEALT = 4
 SUBSETS = list(combinations(range(N2), N2 - SKIP))
 
 
@@ -233,11 +237,14 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                 while len(y) > least:
                     y = y[: len(y) // 2] ^ y[len(y) // 2 :]
                 bits[i] = y
-            bits = bits.view(np.uint64)
-            for i in range(0, len(held), block):
-                p = slice(i, i + block)
-                best, whom = np.full(len(held[p]), np.iinfo(np.int64).max), np.zeros(len(held[p]), np.int64)
-                for j in range(0 if nearest else i, len(held), block):
+            _, of, count = np.unique(comp, return_inverse=True, return_counts=True)
+            order = np.argsort(of == count.argmax(), kind="stable")  # members of the largest component, last, aren't compared with each other
+            rep, comp, n, bits = rep[order], comp[order], n[order], bits[order].view(np.uint64)
+            others, most = len(held) - count.max(), np.iinfo(np.int64).max
+            best, whom = np.full(len(held), most), np.zeros(len(held), np.int64)
+            for i in range(0, others, block):
+                p = slice(i, min(i + block, others))
+                for j in range(i, len(held), block):
                     q = slice(j, j + block)
                     total = n[p, None] + n[None, q]
                     if total.size * bits.shape[1] <= 1 << 18:
@@ -248,18 +255,18 @@ def compared(rows: DataFrame, percent: int, nearest: bool, block: int = 512) ->
                             apart += np.bitwise_count(bits[p, None, w] ^ bits[None, q, w])
                     open_pairs = (100 * (total - apart) >= percent * (total + apart)) & (comp[p, None] != comp[None, q])
                     if nearest:
-                        apart[~open_pairs] = np.iinfo(np.int64).max
-                        at = apart.argmin(1)
-                        least_here = apart[np.arange(len(at)), at]
-                        closer = least_here < best
-                        best[closer], whom[closer] = least_here[closer], rep[q][at[closer]]
+                        apart[~open_pairs] = most
+                        for mine, of, yours in ((p, apart, q), (q, apart.T, p)):
+                            at = of.argmin(1)
+                            least_here = of[np.arange(len(at)), at]
+                            closer = least_here < best[mine]
+                            best[mine][closer], whom[mine][closer] = least_here[closer], rep[yours][at[closer]]
                     else:
                         x, y = np.nonzero(open_pairs if j > i else np.triu(open_pairs))
                         x, y = rep[p][x], rep[q][y]
                         yield from pairs(np.minimum(x, y), np.maximum(x, y))
-                if nearest:
-                    some = best < np.iinfo(np.int64).max
-                    yield from pairs(rep[p][some], whom[some])
+            some = best < most
+            yield from pairs(rep[some], whom[some])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
@@ -351,24 +358,55 @@ def blocks(over: DataFrame, split_over: int) -> DataFrame:
     return dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("sig"), "rep", "component")
 
 
+def parts_of(left: DataFrame, split_over: int) -> DataFrame:
+    """left (sig, rep, component, n), where groups of over split_over members, at most a quarter as many of them outside the largest component, are cut: parts have some of its members and all others."""
+    counts = left.filter(F.col("n") > split_over).groupBy("sig", "component", "n").agg(F.count(F.lit(1)).alias("held"))
+    largest = counts.groupBy("sig", "n").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.max("held").alias("held"))
+    largest = stage(largest.filter((F.col("n") - F.col("held")) * 4 <= split_over).select("sig", "largest"), "largest")
+    if largest.isEmpty():
+        return left
+    n = F.ceil(F.lit(2) * F.col("n") / split_over)
+    dealt = left.join(largest, "sig").withColumn("part", F.explode(F.when(F.col("component") == F.col("largest"), F.array(F.pmod(F.xxhash64("rep"), n))).otherwise(F.sequence(F.lit(0).cast("long"), n - 1))))
+    cut = unlike(stage(dealt.select(F.xxhash64("sig", "part", F.lit("part")).alias("sig"), "rep", "component"), "parts"))
+    return stage(cut.unionByName(left.join(largest, "sig", "left_anti")), "open")
+
+
 def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: int, broadcast_rows: int) -> DataFrame:
-    """left (sig, rep, component, n: members of the group), groups over split_over dealt by the signatures of other hashes, up to SPLITS times.
+    """left (sig, rep, component, n: members of the group) in groups that a task can hold.
 
-    What is larger even then is compared block by block: no task holds more than about split_over members at once.
+    Groups over split_over are cut by parts_of; members of those that aren't are grouped by the signatures of other hashes, up to SPLITS
+    times, each signed once, however many such groups it is in. What is larger even then is compared block by block, all such members as
+    one group where that is less: no task holds more than about split_over members at once.
     """
-    for seed in range(1, SPLITS + 1):
+    for seed in range(1, SPLITS + 2):
+        left = parts_of(left, split_over)
         over = left.filter(F.col("n") > split_over)
         if over.isEmpty():
-            break
-        again = signed(only(text, stage(over.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), broadcast_rows), k, percent, seed).withColumnRenamed("sig", "sig2")
-        parts = stage(over.join(again, "rep").select(F.xxhash64("sig", "sig2").alias("sig"), "rep", "component"), "parts")
+            return left
+        wanted = stage(over.select("rep", "component").distinct(), "wanted")
+        if seed <= SPLITS:
+            some = only(text, wanted.select(F.col("rep").alias("doc_id")), broadcast_rows)
+            parts = stage(grouped(signed(some, k, percent, seed)).join(wanted, "rep").select("sig", "rep", "component"), "parts")
+        else:
+            n = wanted.count()
+            if n * n < over.agg(F.sum("n")).first()[0]:
+                over = wanted.select(F.lit(0).cast("long").alias("sig"), "rep", "component", F.lit(n).cast("long").alias("n"))
+            parts = stage(blocks(over, split_over), "parts")
         left = stage(unlike(parts).unionByName(left.filter(F.col("n") <= split_over)), "open")
-    over = left.filter(F.col("n") > split_over)
-    if not over.isEmpty():
-        left = stage(unlike(blocks(over, split_over)).unionByName(left.filter(F.col("n") <= split_over)), "open")
     return left
 
 
+def compared_in_turns(left: DataFrame, reps: DataFrame, percent: int, nearest: bool, at_once: int) -> DataFrame:
+    """compared(), staged, of the groups of left (sig, rep, component), about at_once rows at a time; only a and b if not nearest."""
+    turns, out = -(-left.count() // at_once), None
+    for i in range(max(1, turns)):
+        some = left.filter(F.pmod(F.xxhash64("sig", F.lit("turn")), F.lit(turns)) == i) if turns > 1 else left
+        found = compared(some.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, nearest)
+        found = stage(found if nearest else found.select("a", "b").distinct(), "near")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id, one row for each row of docs.
 
@@ -385,7 +423,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
     reps = stage(rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "classes")
     copies = stage(rows.join(reps.filter("n_rows > 1").select("key", "rep"), "key").filter("doc_id <> rep").select("doc_id"), "copies")
     text = text.select("doc_id", "text")
-    members = stage(grouped(signed(text.join(small(copies, broadcast_rows)[1], "doc_id", "left_anti"), k, percent)), "members")
+    firsts, n = text.join(small(copies, broadcast_rows)[1], "doc_id", "left_anti"), reps.count()
+    members = stage(grouped(signed(firsts, k, percent)), "members")
 
     pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     seen = stage(sketched(pairs, reps, percent), "sketched")
@@ -400,8 +439,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
         done, full = verdict.select("a", "b"), False
         for round_ in range(NEAREST_ROUNDS + 1):
             full = full or round_ == NEAREST_ROUNDS
-            near = compared(left.join(reps.select("rep", "n_shingles", "sketch"), "rep"), percent, not full)
-            near = near if full else stage(near, "near")
+            near = compared_in_turns(left, reps, percent, not full, DEALT * n)
             maybe = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "maybe")
             if not maybe.isEmpty():
                 found = stage(measured(maybe, whole_sets(text, maybe, k, broadcast_rows), percent).filter("linked").select("a", "b"), "links")

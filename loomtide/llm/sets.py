@@ -133,7 +133,8 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray,
 
 
 def sketch_bits(n: int) -> int:
-    return max(64, 1 << (8 * n - 1).bit_length()) if n else 64
+    """Four to eight times n."""
+    return max(64, 1 << (4 * n - 1).bit_length()) if n else 64
 
 
 def odd_sketch(items: np.ndarray) -> bytes:

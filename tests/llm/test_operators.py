@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from loomtide.llm import exact_dedup, html_tree, jaccard_join, packing, preference_format, quality_crf, quality_rules, sentencepieces, sets, substring_dedup, training_order
 from loomtide.llm.tokens import ChunkIds
+from loomtide.operators.staging import stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -91,6 +94,61 @@ def test_jaccard_join_by_blocks(corpus, spark, monkeypatch):
     assert max(map(len, groups.values())) < 25
 
 
+def test_jaccard_join_signs_members_of_large_groups_once(spark, monkeypatch):
+    r = random.Random(5)
+    base, seen = words(r, 300), Counter()
+    rows = [(i, " ".join(w if r.random() > 0.015 else f"other{i}" for w in base)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def counted(some, name, stage=jaccard_join.stage):
+        out = stage(some, name)
+        seen[name] = max(seen[name], out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(df, split_over=8).collect())) == components(rows)
+    assert 0 < seen["parts"] < 2 * jaccard_join.signed(df, 5, 80).count()
+
+
+def test_parts_of_groups_of_one_component(spark):
+    split_over, groups = 24, {1: (200, 6), 2: (45, 1), 3: (60, 30), 4: (9, 3)}  # members, those outside the largest component
+    rows = [(sig, 1000 * sig + i, 1000 * sig + max(i - n + others + 1, 0), n) for sig, (n, others) in groups.items() for i in range(n)]
+    got = defaultdict(dict)
+    for x in jaccard_join.parts_of(spark.createDataFrame(rows, "sig long, rep long, component long, n long"), split_over).collect():
+        got[x.sig][x.rep] = x.component
+    pairs = lambda g: {(a, b) for a in g for b in g if a < b and g[a] != g[b]}
+    given = [{rep: c for s, rep, c, _ in rows if s == sig} for sig in groups]
+    assert set().union(*map(pairs, got.values())) == set().union(*map(pairs, given))
+    assert sum(map(len, got.values())) <= 2 * len(rows)
+    assert all(len(g) < 2 * split_over for sig, g in got.items() if sig != 3) and got[3] == given[2] and got[4] == given[3]
+
+
+def test_compared_leaves_out_pairs_of_a_component(spark):
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 2**63, 300, dtype=np.uint64))
+    items = [np.sort(np.concatenate([base[6 * i :], r.integers(0, 2**63, 6 * i, dtype=np.uint64)])) for i in range(9)]
+    comps = [5, 0, 0, 3, 0, 3, 0, 0, 8]
+    df = spark.createDataFrame([(3, i, comps[i], len(x), bytearray(sets.odd_sketch(x))) for i, x in enumerate(items)], "sig long, rep long, component long, n_shingles long, sketch binary")
+    apart = {(i, j): sets.bits_apart(*map(sets.odd_sketch, (items[i], items[j]))) for j in range(9) for i in range(9) if comps[i] != comps[j]}
+    maybe = {(i, j): d for (i, j), d in apart.items() if 100 * (len(items[i]) + len(items[j]) - d) >= 80 * (len(items[i]) + len(items[j]) + d)}
+    for block in (2, 4, 50):
+        assert {(x.a, x.b) for x in jaccard_join.compared(df, 80, nearest=False, block=block).collect()} == {p for p in maybe if p[0] < p[1]}
+        near = {x.a: x.b for x in jaccard_join.compared(df, 80, nearest=True, block=block).collect()}
+        assert near.keys() == {i for i, _ in maybe} and all(maybe[i, j] == min(d for p, d in maybe.items() if p[0] == i) for i, j in near.items())
+
+
+def test_shuffle_files_go_with_a_staged_table(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    staged = stage(df, "some")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and staged.count() == 7
+
+
 def test_jaccard_join_of_repeated_ids(spark):
     r = random.Random(8)
     a, b = words(r, 60), words(r, 60)
