@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import shared_dir, stage  # noqa: F401
+from ..operators.staging import shared_dir, stage, unstage  # noqa: F401
 
 #: White space of the contracts: [\x20\x09-\x0D]; exactly what bytes.split() splits at.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import row_ids, salt, small, stage, tidy
+from .base import row_ids, salt, small, stage, tidy, unstage
 from ..operators.components import components
 from .sets import STEP, bits_apart, mix, odd_sketch, shingles, texts, words_of
 
@@ -56,8 +56,12 @@ def _bands(percent: int, power: int) -> tuple[np.ndarray, list[tuple[int, int]]]
 
 
 N2, SKIP, ROUNDS, NEAREST_ROUNDS, SPLITS = 2, 1, 8, 3, 3
-#: Copies of sketches, for each of all sets, that are dealt at once.
-DEALT = 4
+#: Copies of sketches, for each of all sets, that are dealt at once; DEALT_ROWS in any case.
+DEALT, DEALT_ROWS = 4, 1_000_000
+#: Bytes of a signature that are dealt, beside the number of its part; signatures in a part, about.
+SIG, PART = 5, 1_000_000
+#: Links that the driver may follow.
+FINISH = 250_000
 SUBSETS = list(combinations(range(N2), N2 - SKIP))
 
 
@@ -152,47 +156,78 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("given").cast("long").alias("given"), "text").mapInArrow(tidy(run), "doc_id long, given long, n_shingles long, key binary, sketch binary")
 
 
-def signed(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
-    """(sig, rep): a row for each signature of each row of docs (doc_id not null, text)."""
+def pack(sig: np.ndarray, rep: np.ndarray, parts: int):
+    """An Arrow batch of signatures and their sets, a row for each part that has any: part, base, sigs (SIG bytes each), reps (what each rep, in order, is over base, all in as many bytes as the largest needs)."""
+    import pyarrow as pa
+
+    part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.lexsort((rep, part))
+    part, base = part[order], rep.min()
+    over = rep[order].view(np.uint64) - base.view(np.uint64)
+    wide = max(1, -(-int(over.max()).bit_length() // 8))
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.append(first, len(sig))
+
+    def column(values: np.ndarray, size: int):
+        raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(raw)])
+
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(np.full(len(first), base)), column(sig[order], SIG), column(over, wide)], ["part", "base", "sigs", "reps"])
+
+
+def unpack(part: int, base: int, sigs: bytes, reps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, reps) of a row of pack(): part and the SIG bytes as one number; two signatures that agree in it make a group too large, no harm."""
+    n = len(sigs) // SIG
+
+    def number(raw: bytes) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+        return out.view("<u8")[:, 0]
+
+    with np.errstate(over="ignore"):
+        return number(sigs) | np.uint64(part << 8 * SIG), (number(reps) + np.int64(base).view(np.uint64)).view(np.int64)
+
+
+def signed(docs: DataFrame, k: int, percent: int, seed: int = 0, parts: int = 0) -> DataFrame:
+    """(sig, rep): a row for each signature of each row of docs (doc_id not null, text); with `parts`, packed for so many tasks: about 7 bytes each in a shuffle, where such a row takes 12."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for ids, items, at in each_sets(batches, k):
             row, sig = signatures(items, at, percent, seed)
-            yield from rows_of({"sig": sig.view(np.int64), "rep": ids.to_numpy(zero_copy_only=False)[row]}, {"sig": pa.int64(), "rep": pa.int64()})
+            rep = ids.to_numpy(zero_copy_only=False)[row]
+            if not parts:
+                yield from rows_of({"sig": sig.view(np.int64), "rep": rep}, {"sig": pa.int64(), "rep": pa.int64()})
+            elif len(sig):
+                yield pack(sig, rep, parts)
 
-    return docs.mapInArrow(tidy(run), "sig long, rep long")
+    return docs.mapInArrow(tidy(run), "part int, base long, sigs binary, reps binary" if parts else "sig long, rep long")
 
 
-def grouped(signed_rows: DataFrame) -> DataFrame:
-    """(sig, rep, leader) of the groups with two members at least. Each task reads its rows in order of sig (one key, so a radix sort), and holds a batch; a leader is the least rep of its group's first batch."""
+def grouped(packed: DataFrame, parts: int, seed: int = 0) -> DataFrame:
+    """(sig, rep, leader) of the groups with two members at least; a leader is its group's least rep. A task holds a part, of about PART signatures."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types = {c: pa.int64() for c in ("sig", "rep", "leader")}
-        sig, rep, head = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # the row that is not told yet; the leader of its group, if told
-        for b in batches:
-            sig, rep = (np.concatenate([x, b.column(c).to_numpy(zero_copy_only=False)]) for x, c in ((sig, "sig"), (rep, "rep")))
-            if not len(sig):
-                continue
-            new = np.concatenate([[head is None], sig[1:] != sig[:-1]])
-            first = np.flatnonzero(np.concatenate([[True], new[1:]]))
-            leader = np.minimum.reduceat(rep, first)
-            if head is not None:
-                leader[0] = head
-            leader = np.repeat(leader, np.diff(np.append(first, len(sig))))
-            many = ~new
-            many[:-1] |= ~new[1:]  # the next one is of the same group
-            told = np.flatnonzero(many[:-1])
-            yield from rows_of({"sig": sig[told], "rep": rep[told], "leader": leader[told]}, types)
-            head = None if new[-1] else int(leader[-1])
-            sig, rep = sig[-1:], rep[-1:]
-        if head is not None:
-            yield from rows_of({"sig": sig, "rep": rep, "leader": np.array([head])}, types)
-
-    return signed_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(run), "sig long, rep long, leader long")
+        got = [unpack(*row) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not got:
+            return
+        sig, rep = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        order = np.argsort(sig)
+        sig, rep = sig[order], rep[order]
+        same = sig[1:] == sig[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        sig, rep = sig[many], rep[many]
+        if not len(sig):
+            return
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        leader = np.repeat(np.minimum.reduceat(rep, first), np.diff(np.append(first, len(sig))))
+        yield from rows_of({"sig": mix(sig ^ mix(np.uint64(seed))).view(np.int64), "rep": rep, "leader": leader}, {c: pa.int64() for c in ("sig", "rep", "leader")})
+
+    return packed.repartitionById(parts, "part").mapInArrow(tidy(run), "sig long, rep long, leader long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -371,7 +406,7 @@ def parts_of(left: DataFrame, split_over: int) -> DataFrame:
     return stage(cut.unionByName(left.join(largest, "sig", "left_anti")), "open")
 
 
-def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: int, broadcast_rows: int) -> DataFrame:
+def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: int, broadcast_rows: int, tasks: int) -> DataFrame:
     """left (sig, rep, component, n: members of the group) in groups that a task can hold.
 
     Groups over split_over are cut by parts_of; members of those that aren't are grouped by the signatures of other hashes, up to SPLITS
@@ -386,7 +421,7 @@ def split(left: DataFrame, text: DataFrame, k: int, percent: int, split_over: in
         wanted = stage(over.select("rep", "component").distinct(), "wanted")
         if seed <= SPLITS:
             some = only(text, wanted.select(F.col("rep").alias("doc_id")), broadcast_rows)
-            parts = stage(grouped(signed(some, k, percent, seed)).join(wanted, "rep").select("sig", "rep", "component"), "parts")
+            parts = stage(grouped(signed(some, k, percent, seed, tasks), tasks, seed).join(wanted, "rep").select("sig", "rep", "component"), "parts")
         else:
             n = wanted.count()
             if n * n < over.agg(F.sum("n")).first()[0]:
@@ -423,34 +458,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
     reps = stage(rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "classes")
     copies = stage(rows.join(reps.filter("n_rows > 1").select("key", "rep"), "key").filter("doc_id <> rep").select("doc_id"), "copies")
     text = text.select("doc_id", "text")
-    firsts, n = text.join(small(copies, broadcast_rows)[1], "doc_id", "left_anti"), reps.count()
-    members = stage(grouped(signed(firsts, k, percent)), "members")
+    firsts = text.join(small(copies, broadcast_rows)[1], "doc_id", "left_anti")
+    n, items = reps.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-2 * (items or 0) // (3 * PART)))  # two signatures for three items, about
+    members = stage(grouped(signed(firsts, k, percent, parts=tasks), tasks), "members")
 
     pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     seen = stage(sketched(pairs, reps, percent), "sketched")
     wanted = seen.filter("maybe")
-    verdict = stage(measured(wanted, whole_sets(text, wanted, k, broadcast_rows), percent).unionByName(seen.filter("NOT maybe").select("a", "b", F.lit(False).alias("linked"), "far")), "verdicts")
+    sets = whole_sets(text, wanted, k, broadcast_rows)
+    verdict = stage(measured(wanted, sets, percent).unionByName(seen.filter("NOT maybe").select("a", "b", F.lit(False).alias("linked"), "far")), "verdicts")
     links = verdict.filter("linked").select("a", "b")
-    label = components(links)
+    label = components(links, FINISH)
 
     left = stage(open_members(members, verdict), "open")
+    unstage(members, seen, sets)
     if not left.isEmpty():
-        left = split(stage(unlike(named_by(left, label)), "open"), text, k, percent, split_over, broadcast_rows)
+        left = split(stage(unlike(named_by(left, label)), "open"), text, k, percent, split_over, broadcast_rows, tasks)
         done, full = verdict.select("a", "b"), False
         for round_ in range(NEAREST_ROUNDS + 1):
             full = full or round_ == NEAREST_ROUNDS
-            near = compared_in_turns(left, reps, percent, not full, DEALT * n)
-            maybe = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "maybe")
+            near = compared_in_turns(left, reps, percent, not full, max(DEALT * n, DEALT_ROWS))
+            maybe, joined = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "maybe"), False
             if not maybe.isEmpty():
-                found = stage(measured(maybe, whole_sets(text, maybe, k, broadcast_rows), percent).filter("linked").select("a", "b"), "links")
-                if not found.isEmpty():
+                sets = whole_sets(text, maybe, k, broadcast_rows)
+                found = stage(measured(maybe, sets, percent).filter("linked").select("a", "b"), "links")
+                unstage(sets)
+                if joined := not found.isEmpty():
                     links = stage(links.union(found), "links")
-                    label = components(links)
+                    label = components(links, FINISH)
                 done = done.union(maybe)
             if full:
                 break
-            full = maybe.isEmpty()
+            full = not joined  # as components are the same, so would be the nearest members
             left = stage(unlike(named_by(near.select("sig", F.col("a").alias("rep")), label)), "open")
+            unstage(near)
 
     named = reps.select("key", "rep", "n_rows").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
     told = stage(named.filter(F.col("n_rows") + F.when(F.col("component") < F.col("rep"), 2).otherwise(0) > 1).select("key", "rep", "component"), "told")

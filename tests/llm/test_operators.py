@@ -5,6 +5,7 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from loomtide.llm import exact_dedup, html_tree, jaccard_join, packing, preference_format, quality_crf, quality_rules, sentencepieces, sets, substring_dedup, training_order
 from loomtide.llm.tokens import ChunkIds
-from loomtide.operators.staging import stage
+from loomtide.operators import components as components_module
+from loomtide.operators.staging import stage, unstage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -94,6 +96,72 @@ def test_jaccard_join_by_blocks(corpus, spark, monkeypatch):
     assert max(map(len, groups.values())) < 25
 
 
+def test_jaccard_join_takes_few_stages(corpus, monkeypatch):
+    """A component's links are followed in one table, not in rounds of joins; a round of nearest members that joins nothing is the last but one."""
+    rows, df = corpus
+    seen, found = Counter(), []
+
+    def counted(some, name, stage=jaccard_join.stage):
+        seen[name] += 1
+        out = stage(some, name)
+        if name == "links":
+            found.append(out.isEmpty())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    monkeypatch.setattr(components_module, "stage", counted)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(df).collect())) == components(rows)
+    assert 0 < seen["hooks"] <= seen["edges"] and not seen["labels"]
+    assert seen["near"] <= 1 + len(found) + 1 and found.count(True) <= 2
+
+
+def test_signatures_are_dealt_in_few_bytes(corpus):
+    _, df = corpus
+    docs = df.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text").cache()
+    plain = defaultdict(set)
+    for x in jaccard_join.signed(docs, 5, 80).collect():
+        plain[x.sig].add(x.rep)
+    groups = Counter(frozenset(x) for x in plain.values() if len(x) > 1)
+    for parts in (1, 7):
+        dealt = jaccard_join.signed(docs, 5, 80, parts=parts)
+        blobs = dealt.selectExpr("sum(length(sigs) + length(reps)) AS bytes", "min(part) AS low", "max(part) AS high").first()
+        assert blobs.bytes < 7 * sum(map(len, plain.values())) and 0 <= blobs.low <= blobs.high < parts
+        got = defaultdict(set)
+        for x in jaccard_join.grouped(dealt, parts).collect():
+            got[x.sig, x.leader].add(x.rep)
+        assert Counter(map(frozenset, got.values())) == groups and all(min(reps) == leader for (_, leader), reps in got.items())
+
+
+def test_packed_signatures_come_back():
+    r = np.random.default_rng(3)
+    for ids in (np.array([7]), np.arange(-3, 4), np.array([-(2**63), 0, 2**63 - 1])):
+        sig, rep = r.integers(0, 2**64 - 1, 500, np.uint64, endpoint=True), r.choice(ids, 500)
+        for parts in (1, 3, 1000):
+            batch = jaccard_join.pack(sig, rep, parts)
+            got = [jaccard_join.unpack(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            part = [(int(s) >> 32) * parts >> 32 for s in sig]
+            want = Counter((p << 40 | int(s) & (1 << 40) - 1, int(i)) for p, s, i in zip(part, sig, rep, strict=True))
+            assert Counter((int(s), int(i)) for x, y in got for s, i in zip(x, y, strict=True)) == want
+            assert sorted(batch.column("part").to_pylist()) == sorted(set(part))
+
+
+def test_components_at_the_driver(spark):
+    r = random.Random(9)
+    links = [(r.randrange(400) - 50, r.randrange(400) - 50) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(100)] + [(7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    some, full = ({x.node: x.component for x in components_module.components(df, finish).collect()} for finish in (0, 1000))
+    assert some == full and full[1100] == 1000
+    assert {x.node: x.component for x in components_module.components(df, 150).collect()} == full
+    assert components_module.components(df.filter("a = b"), 1000).count() == 0
+
+
+def test_staged_tables_go(spark):
+    kept, gone = stage(spark.range(5), "kept"), stage(spark.range(7), "gone")
+    path = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    unstage(gone)
+    assert not Path(path).exists() and kept.count() == 5
+
+
 def test_jaccard_join_signs_members_of_large_groups_once(spark, monkeypatch):
     r = random.Random(5)
     base, seen = words(r, 300), Counter()
