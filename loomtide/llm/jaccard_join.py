@@ -19,7 +19,7 @@ compared where they lie, block by block, by odd sketches, which bound the distan
 may be linked come out, first each member with the one that seems nearest, and, once that joins no further components, all that are
 left. Open groups over `split_over` members, most of them of one component, are cut: each part has some of its members and all the others.
 The members of groups with more others are signed anew with independent hashes, each once: partners share one of these signatures as well.
-Open members are compared in turns, so that few copies of a sketch are on disk.
+Open members are compared in turns, so that few copies of a sketch are on disk, and so are pairs, for the copies of whole sets.
 Candidates are then held against each other's whole sets. So all links between different sets are found or implied.
 """
 
@@ -58,6 +58,8 @@ def _bands(percent: int, power: int) -> tuple[np.ndarray, list[tuple[int, int]]]
 N2, SKIP, ROUNDS, NEAREST_ROUNDS, SPLITS = 2, 1, 8, 3, 3
 #: Copies of sketches, for each of all sets, that are dealt at once; DEALT_ROWS in any case.
 DEALT, DEALT_ROWS = 4, 1_000_000
+#: Pairs whose whole sets are dealt at once, as a share of all sets; PAIRS_ROWS in any case.
+PAIRS, PAIRS_ROWS = 6, 20_000
 #: Bytes of a signature that are dealt, beside the number of its part; signatures in a part, about.
 SIG, PART = 5, 1_000_000
 #: Links that the driver may follow.
@@ -225,7 +227,9 @@ def grouped(packed: DataFrame, parts: int, seed: int = 0) -> DataFrame:
             return
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         leader = np.repeat(np.minimum.reduceat(rep, first), np.diff(np.append(first, len(sig))))
-        yield from rows_of({"sig": mix(sig ^ mix(np.uint64(seed))).view(np.int64), "rep": rep, "leader": leader}, {c: pa.int64() for c in ("sig", "rep", "leader")})
+        order = np.lexsort((rep, sig, leader))  # a leader's groups lie together and take fewer bytes
+        sig = mix(sig ^ mix(np.uint64(seed)))
+        yield from rows_of({"sig": sig[order].view(np.int64), "rep": rep[order], "leader": leader[order]}, {c: pa.int64() for c in ("sig", "rep", "leader")})
 
     return packed.repartitionById(parts, "part").mapInArrow(tidy(run), "sig long, rep long, leader long")
 
@@ -377,9 +381,23 @@ def whole_sets(text: DataFrame, pairs: DataFrame, k: int, broadcast_rows: int) -
     return stage(shingle_sets(only(text, wanted, broadcast_rows), k), "items")
 
 
-def open_members(members: DataFrame, verdict: DataFrame) -> DataFrame:
-    """(sig, rep): what the leader leaves open: members of a group that are not linked to it; and those that are, if one of the others is not far."""
-    state = members.filter("rep <> leader").join(verdict.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "far"), ["leader", "rep"])
+def measured_in_turns(pairs: DataFrame, text: DataFrame, k: int, percent: int, at_once: int, broadcast_rows: int) -> DataFrame:
+    """measured() of pairs, staged, about at_once at a time, so that few copies of whole sets are on disk."""
+    turns, out = max(1, -(-pairs.count() // at_once)), None
+    for i in range(turns):
+        some = pairs.filter(F.pmod(F.xxhash64("b", F.lit("turn")), F.lit(turns)) == i) if turns > 1 else pairs
+        sets = whole_sets(text, some, k, broadcast_rows)
+        found = stage(measured(some, sets, percent), "verdicts")
+        unstage(sets)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def open_members(members: DataFrame, verdict: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(sig, rep): what the leader leaves open: members of a group that are not linked to it; and those that are, if one of the others is not far. Groups of leaders that all are linked to are not dealt."""
+    some = stage(verdict.filter("NOT linked").select(F.col("a").alias("leader")).distinct(), "wanted")
+    state = members.filter("rep <> leader").join(small(some, broadcast_rows)[1], "leader", "left_semi")
+    state = state.join(verdict.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "far"), ["leader", "rep"])
     groups = state.groupBy("sig").agg(F.count_if(~F.col("linked")).alias("others"), F.count_if(~F.col("linked") & ~F.col("far")).alias("close"), F.count(F.lit(1)).alias("n"))
     groups = groups.filter("others > 1 OR (close > 0 AND n > 1)").select("sig", "close")
     return state.join(groups, "sig").filter("NOT linked OR close > 0").select("sig", "rep")
@@ -466,13 +484,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
     pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     seen = stage(sketched(pairs, reps, percent), "sketched")
     wanted = seen.filter("maybe")
-    sets = whole_sets(text, wanted, k, broadcast_rows)
-    verdict = stage(measured(wanted, sets, percent).unionByName(seen.filter("NOT maybe").select("a", "b", F.lit(False).alias("linked"), "far")), "verdicts")
+    pairs_at_once = max(n // PAIRS, PAIRS_ROWS)
+    verdict = measured_in_turns(wanted, text, k, percent, pairs_at_once, broadcast_rows).unionByName(seen.filter("NOT maybe").select("a", "b", F.lit(False).alias("linked"), "far"))
     links = verdict.filter("linked").select("a", "b")
     label = components(links, FINISH)
 
-    left = stage(open_members(members, verdict), "open")
-    unstage(members, seen, sets)
+    left = stage(open_members(members, verdict, broadcast_rows), "open")
+    unstage(members)
     if not left.isEmpty():
         left = split(stage(unlike(named_by(left, label)), "open"), text, k, percent, split_over, broadcast_rows, tasks)
         done, full = verdict.select("a", "b"), False
@@ -481,9 +499,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, split_over:
             near = compared_in_turns(left, reps, percent, not full, max(DEALT * n, DEALT_ROWS))
             maybe, joined = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "maybe"), False
             if not maybe.isEmpty():
-                sets = whole_sets(text, maybe, k, broadcast_rows)
-                found = stage(measured(maybe, sets, percent).filter("linked").select("a", "b"), "links")
-                unstage(sets)
+                found = stage(measured_in_turns(maybe, text, k, percent, pairs_at_once, broadcast_rows).filter("linked").select("a", "b"), "links")
                 if joined := not found.isEmpty():
                     links = stage(links.union(found), "links")
                     label = components(links, FINISH)

@@ -115,6 +115,30 @@ def test_jaccard_join_takes_few_stages(corpus, monkeypatch):
     assert seen["near"] <= 1 + len(found) + 1 and found.count(True) <= 2
 
 
+def test_jaccard_join_deals_few_whole_sets_at_once(spark, monkeypatch):
+    """Where all texts have near copies, whole sets are dealt in turns and go, members too; groups that are linked to their leader aren't dealt again."""
+    r, held, made = random.Random(8), [], Counter()
+    rows = []
+    for family in range(30):
+        base = " ".join(words(r, 60, 9000))
+        rows += [(100 * copy + family, f"{base} copy{copy}") for copy in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def counted(some, name, stage=jaccard_join.stage):
+        out = stage(some, name)
+        made[name] = max(made[name], out.count())
+        if name in ("items", "members"):
+            held.append(Path(out.inputFiles()[0].removeprefix("file://")).parent)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    monkeypatch.setattr(jaccard_join, "PAIRS_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 10)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(df).collect())) == components(rows)
+    assert len(held) > 4 and 0 < made["items"] < 80 and not any(path.exists() for path in held)
+    assert made["members"] and not made["open"]
+
+
 def test_signatures_are_dealt_in_few_bytes(corpus):
     _, df = corpus
     docs = df.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text").cache()
